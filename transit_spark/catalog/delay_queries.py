@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from transit_spark.catalog import proxies as px
+from transit_spark.catalog.registry import Registry
 from transit_spark.functions.calendar import calendar_parts, date_from_day_first, date_from_parts, day_type
 from transit_spark.functions.delays import delay_category, delay_minutes
 from transit_spark.functions.weather import weather_risk
@@ -23,23 +24,14 @@ from transit_spark.plans.delays import enrich_facts
 from transit_spark.sources.delay_documents import unpivot_documents
 from transit_spark.sources.pages import CardLayout, page_cards
 
-QUERIES, ORACLES = {}, {}
+REGISTRY = Registry()
+query = REGISTRY.query
 
 # Maintenance threshold that splits the test data; the library default is the fixed value.
 THRESHOLD = 130
 RECENT = [f"U{i}" for i in range(1, 10)]
 
 
-def query(name: str, oracle: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return register
-
-
 @query(
     "json_props_parse",
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
