@@ -9,7 +9,7 @@ from transit_spark.catalog.registry import Registry
 from transit_spark.operators.compare import actual_delays, prediction_vs_actual
 from transit_spark.operators.lookups import find_routes, run_sql, split_requests, stop_lookup
 from transit_spark.operators.ordered import dense_codes
-from transit_spark.plans.delays import request_features, result_documents, score_delays
+from transit_spark.plans.delays import prediction_rows, request_features, result_documents, score_delays
 from transit_spark.session import stage
 
 REGISTRY = Registry()
@@ -106,10 +106,18 @@ def result_documents_query(spark, sf_dir) -> DataFrame:
     return result_documents(scored(spark, sf_dir, lookup), errors)
 
 
+@query(
+    "delay_predictions",
+    _BASE + "SELECT station, predicted_delay_min, train_number, CAST(travel_date AS VARCHAR) AS query_date FROM scored",
+)
+def delay_predictions(spark, sf_dir) -> DataFrame:
+    return prediction_rows(scored(spark, sf_dir, _lookup(spark, sf_dir)))
+
+
 @query(
     "route_finder",
     px.with_clause(px.SCHEDULE)
-    + """, q AS (SELECT o_orderkey AS request_id, 'N' || (o_custkey % 25) AS source_station,
+    + """, q AS (SELECT DISTINCT 'N' || (o_custkey % 25) AS source_station,
      'N' || (o_custkey % 6) AS destination_station, strftime(o_orderdate, '%Y-%m-%d') AS scheduled_departure FROM orders)
 SELECT q.*, s.train_number, coalesce('Train ' || s.train_number || ': ' || q.source_station || ' -> ' || q.destination_station,
        'No route found.') AS answer
@@ -117,7 +125,6 @@ FROM q LEFT JOIN schedule s USING (source_station, destination_station, schedule
 )
 def route_finder(spark, sf_dir) -> DataFrame:
     requests = px.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"),
         F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("source_station"),
         F.concat(F.lit("N"), (F.col("o_custkey") % 6).cast("string")).alias("destination_station"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("scheduled_departure"),
@@ -144,7 +151,7 @@ def route_finder_sql(spark, sf_dir) -> DataFrame:
 
 
 def day_files(spark, sf_dir) -> list[DataFrame]:
-    """Scraped delay text of the three newest days, one table per day."""
+    """Scraped delay text in three tables, one per ten days; together they hold every fact."""
     facts = px.facts(spark, sf_dir)
     minutes = F.col("delay_min")
     text = (
@@ -154,18 +161,16 @@ def day_files(spark, sf_dir) -> list[DataFrame]:
         .otherwise(F.format_string("%02d:%02d Hr", F.floor(minutes / 60).cast("int"), minutes % 60))
     )
     rows = facts.select("train_number", "station", "travel_date", text.alias("delay"))
-    return [
-        rows.filter(F.col("travel_date") == F.lit(day).cast("date")).drop("travel_date")
-        for day in ("2024-01-28", "2024-01-29", "2024-01-30")
-    ]
+    day = F.day("travel_date")
+    parts = (day <= 10, (day > 10) & (day <= 20), day > 20)
+    return [rows.filter(part).drop("travel_date") for part in parts]
 
 
 @query(
     "prediction_vs_actual",
     _BASE
     + """, actual AS (SELECT train_number, station, CAST(sum(delay_min) AS DOUBLE) / count(*) AS actual_delay_min, count(*) AS n_actual
-     FROM facts WHERE travel_date IN (DATE '2024-01-28', DATE '2024-01-29', DATE '2024-01-30') AND delay_min IS NOT NULL
-     GROUP BY ALL)
+     FROM facts WHERE delay_min IS NOT NULL GROUP BY ALL)
 SELECT train_number, station, predicted_delay_min, actual_delay_min, n_actual,
        predicted_delay_min - actual_delay_min AS error_min, abs(predicted_delay_min - actual_delay_min) AS abs_error_min
 FROM (SELECT train_number, station, round_even(rolling_72hr_avg_delay, 1) AS predicted_delay_min FROM lookup)

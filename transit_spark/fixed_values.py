@@ -40,6 +40,9 @@ ON_TIME, SLIGHT_DELAY, SIGNIFICANT_DELAY = "On Time", "Slight Delay", "Significa
 HIGH_CONFIDENCE = (0.75, 0.25)
 MEDIUM_CONFIDENCE = (0.60, 0.40)
 
+# Features of a stop for which only the train and station are known.
+BARE_STOP_DEFAULTS = {"rolling_72hr_avg_delay": 15.0, "is_maintenance_likely": 0}
+
 # Text shown for missing parts of a scraped card.
 MISSING_TEXT = "N/A"
 NO_DELAY_TEXT = "On Time / 0 Min"

@@ -9,6 +9,10 @@ def unknown_train(train: Column) -> Column:
     return F.format_string("Train %s not found. Please check the train number and try again.", train.cast("string"))
 
 
+def encoding_failed(train: Column) -> Column:
+    return F.format_string("Station encoding failed for train %s.", train.cast("string"))
+
+
 def stop_delay(station: Column, minutes: Column) -> Column:
     return F.format_string("Predicted Delay at %s: %.2f minutes", station, minutes)
 

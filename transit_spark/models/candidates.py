@@ -17,7 +17,15 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from transit_spark.models.features import CATEGORICAL, NUMERIC, as_double, feature_names, feature_pipeline, prepare
+from transit_spark.models.features import (
+    CATEGORICAL,
+    NUMERIC,
+    as_double,
+    check_vocabulary,
+    feature_names,
+    feature_pipeline,
+    prepare,
+)
 
 SEED = 42
 FARE_NUMERIC = tuple(c for c in NUMERIC if c != "Fare")
@@ -121,6 +129,7 @@ def fit_candidates(
     """
     candidates = candidates or confirmation_candidates()
     train, test = as_double(train, numeric), as_double(test, numeric)
+    check_vocabulary(train, categorical)
     features = feature_pipeline(categorical, numeric, center=center).fit(train)
     prepared = prepare(features, train, ["label"], numeric)
     held_out = prepare(features, test, ["label"], numeric)
@@ -152,6 +161,7 @@ def fit_fare(
     """The fare forest by RMSE, with its test metrics."""
     candidate = candidate or fare_candidate()
     train, test = as_double(train, [*numeric, "Fare"]), as_double(test, [*numeric, "Fare"])
+    check_vocabulary(train, categorical)
     features = feature_pipeline(categorical, numeric, center=center).fit(train)
     prepared = prepare(features, train, ["Fare"], numeric)
     held_out = prepare(features, test, ["Fare"], numeric)

@@ -63,6 +63,17 @@ def feature_pipeline(
     )
 
 
+MAX_VOCABULARY = 100_000
+
+
+def check_vocabulary(df: DataFrame, columns: Sequence[str], limit: int = MAX_VOCABULARY) -> None:
+    """Refuse categories too numerous to index: Spark ML keeps their list on the driver."""
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    large = [c for c in columns if sizes[c] > limit]
+    if large:
+        raise ValueError(f"more than {limit} distinct values in {large}: group them before training")
+
+
 def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns if c in df.columns})
 

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from transit_spark.operators.joins import join_counted, with_global
+from transit_spark.operators.joins import join_counted, mark_counted, with_global
 from transit_spark.operators.ordered import dense_codes, exact_percentiles, running_sum, value_counts_long
+from transit_spark.session import stage
 
 
 def label_encode(df: DataFrame, column: str, code: str) -> DataFrame:
@@ -26,9 +27,9 @@ def frequency_codes(df: DataFrame, column: str, code: str) -> DataFrame:
 
 def frequency_index(df: DataFrame, column: str, code: str) -> DataFrame:
     """Add the frequency code; unseen and NULL values get the next free code."""
-    codes = frequency_codes(df, column, code).drop("n")
+    codes = stage(frequency_codes(df, column, code).drop("n"))
     size = codes.agg(F.count(F.lit(1)).cast("int").alias("__unseen"))
-    coded = with_global(join_counted(df, codes, column), size)
+    coded = with_global(df.join(mark_counted(codes), column, "left"), size)
     return coded.withColumn(code, F.coalesce(code, "__unseen")).drop("__unseen")
 
 

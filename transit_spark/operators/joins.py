@@ -19,7 +19,11 @@ def counted(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     parquet footers hold the row counts. Above the bound there is no mark, both
     sides of the join are shuffled, and adaptive execution splits hot keys.
     """
-    staged = stage(small)
+    return mark_counted(stage(small), max_rows)
+
+
+def mark_counted(staged: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same for a table that is staged or published already."""
     return F.broadcast(staged) if staged.count() <= max_rows else staged
 
 

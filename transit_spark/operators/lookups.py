@@ -55,10 +55,16 @@ def split_requests(requests: DataFrame, known: DataFrame, key: str = "train_numb
 def lookup_stops(
     requests: DataFrame, lookup: DataFrame, defaults: dict[str, float] | None = None
 ) -> DataFrame:
-    """One row per request and stop of its train; NULL features become the defaults, 0 unless given."""
+    """One row per request and stop of its train.
+
+    NULL features become the defaults, 0 unless given; a default for a column the
+    lookup does not have adds it, so a table of bare pairs will do.
+    """
+    defaults = defaults or {}
     features = [c for c in lookup.columns if c not in PAIR]
     stops = join_counted(requests, lookup, "train_number", "inner")
-    return stops.fillna({c: (defaults or {}).get(c, 0) for c in features})
+    filled = stops.fillna({c: defaults.get(c, 0) for c in features}) if features else stops
+    return filled.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in lookup.columns})
 
 
 def stop_lookup(requests: DataFrame, scored: DataFrame) -> DataFrame:
@@ -99,12 +105,20 @@ ROUTE_KEYS = ("source_station", "destination_station", "scheduled_departure")
 
 
 def find_routes(requests: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Every schedule row that answers a request, or one row saying that there is none."""
-    trains = schedule.select(*ROUTE_KEYS, "train_number")
-    found = requests.join(trains, list(ROUTE_KEYS), "left")
+    """The schedule rows that answer each distinct question, or one row saying that there is none.
+
+    A question asked a million times is answered once, so the result never holds
+    pairs of requests and schedule rows. The semi join lets adaptive execution
+    split a hot question on the schedule side.
+    """
+    keys = list(ROUTE_KEYS)
+    questions = requests.select(*keys).distinct()
     line = messages.route_line(F.col("train_number"), F.col("source_station"), F.col("destination_station"))
-    answer = F.when(F.col("train_number").isNull(), messages.NO_ROUTE).otherwise(line)
-    return found.select(*requests.columns, "train_number", answer.alias("answer"))
+    found = schedule.select(*keys, "train_number").join(questions, keys, "left_semi")
+    missing = questions.join(schedule.select(*keys).distinct(), keys, "left_anti").select(
+        *keys, F.lit(None).cast(schedule.schema["train_number"].dataType).alias("train_number")
+    )
+    return found.withColumn("answer", line).unionByName(missing.withColumn("answer", F.lit(messages.NO_ROUTE)))
 
 
 def run_sql(spark: SparkSession, text: str, **args) -> DataFrame:

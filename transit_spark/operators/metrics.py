@@ -87,7 +87,10 @@ def best_candidate(metrics: DataFrame, name: str = "candidate", metric: str = "a
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, stat, value)``: count, mean, std, min, quartiles and max of numeric columns."""
+    """``(column, stat, value)``: count, mean, std, min, quartiles and max of numeric columns.
+
+    Quartiles are exact, which sorts the distinct values; ``df.summary()`` has approximate ones.
+    """
     counts = stage(value_counts_long(df, columns))
     quartiles = exact_percentiles(counts, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
     moments = df.agg(

@@ -13,7 +13,7 @@ from transit_spark.functions.calendar import calendar_parts, day_type
 from transit_spark.functions.delays import delay_category
 from transit_spark.functions.numbers import report_round
 from transit_spark.operators.history import add_maintenance_flag, add_rolling_delay
-from transit_spark.operators.joins import join_counted
+from transit_spark.operators.joins import counted, join_counted
 from transit_spark.operators.lookups import lookup_stops
 from transit_spark.operators.weather import backfill_weather
 from transit_spark.sinks.snapshots import publish_snapshot
@@ -89,15 +89,16 @@ def score_delays(features: DataFrame, model=None) -> DataFrame:
 
 
 def result_documents(scored: DataFrame, errors: DataFrame) -> DataFrame:
-    """One JSON document per request: its stops by name, or the error.
+    """One JSON document per train and date: its stops by name, or the error.
 
-    A document lists the stops of one train, so its size is that of a route.
+    Stops are gathered as a set, which repeated requests do not enlarge: a
+    document is as long as the train's route.
     """
     stamp = F.date_format("travel_date", "yyyy-MM-dd HH:mm:ss")
     stop = F.struct("station", "predicted_delay_min", "delay_category")
     grouped = (
         scored.groupBy("train_number", "travel_date")
-        .agg(F.array_sort(F.collect_list(stop)).alias("stops"))
+        .agg(F.array_sort(F.collect_set(stop)).alias("stops"))
         .withColumn("error", F.lit(None).cast("string"))
     )
     failed = errors.select(
@@ -105,13 +106,23 @@ def result_documents(scored: DataFrame, errors: DataFrame) -> DataFrame:
         "travel_date",
         F.array().cast(grouped.schema["stops"].dataType).alias("stops"),
         "error",
-    )
+    ).distinct()
     body = F.struct("train_number", stamp.alias("prediction_date"), "stops", "error")
     return grouped.unionByName(failed).select(
         "train_number", "travel_date", F.to_json(body, {"ignoreNullFields": "false"}).alias("document")
     )
 
 
-def unknown_request_error(errors: DataFrame) -> DataFrame:
-    """Error rows for requests whose train is unknown."""
-    return errors.withColumn("error", messages.unknown_train(F.col("train_number")))
+def split_encoded(features: DataFrame, code: str = "station_enc") -> tuple[DataFrame, DataFrame]:
+    """Feature rows of trains whose stations all have a code, and one error row per request of the others."""
+    keys = ["train_number", "travel_date"]
+    failed = counted(features.filter(F.col(code).isNull()).select(*keys).distinct())
+    errors = failed.withColumn("error", messages.encoding_failed(F.col("train_number")))
+    return features.join(failed, keys, "left_anti"), errors
+
+
+def prediction_rows(scored: DataFrame) -> DataFrame:
+    """The stored form of predictions."""
+    return scored.select(
+        "station", "predicted_delay_min", "train_number", F.col("travel_date").cast("string").alias("query_date")
+    )
