@@ -26,8 +26,10 @@ from transit_spark.models.features import (
     feature_pipeline,
     prepare,
 )
+from transit_spark.operators.encode import hash_bucket
 
 SEED = 42
+FOLD = "fold"
 FARE_NUMERIC = tuple(c for c in NUMERIC if c != "Fare")
 METRIC_LOG = "run STRING, candidate STRING, kind STRING, name STRING, value STRING"
 
@@ -97,6 +99,10 @@ def fare_candidate(full: bool = True) -> Candidate:
     return Candidate("FareForest", forest, grid)
 
 
+def _with_folds(df: DataFrame, key: str, folds: int) -> DataFrame:
+    return df.withColumn(FOLD, (hash_bucket(key) % folds).cast("int"))
+
+
 def _cross_validate(candidate: Candidate, train: DataFrame, evaluator, folds: int, parallelism: int) -> Model:
     if len(candidate.grid) == 1:
         return candidate.estimator.fit(train, candidate.grid[0])
@@ -105,6 +111,7 @@ def _cross_validate(candidate: Candidate, train: DataFrame, evaluator, folds: in
         estimatorParamMaps=candidate.grid,
         evaluator=evaluator,
         numFolds=folds,
+        foldCol=FOLD,
         seed=SEED,
         parallelism=parallelism,
     )
@@ -120,9 +127,13 @@ def fit_candidates(
     folds: int = 3,
     parallelism: int = 2,
     center: bool = False,
+    key: str = "PNR",
 ) -> list[Fitted]:
     """Fit every candidate on the same prepared features and measure it on the test rows.
 
+    Folds follow from the key of a row, so they do not depend on how the rows are
+    spread over files and tasks.
+
     The feature stages are fitted once on all training rows and not per fold, so
     a fold's indexes, medians and scales have seen its held-out rows. The labels
     have not been used for them.
@@ -131,7 +142,7 @@ def fit_candidates(
     train, test = as_double(train, numeric), as_double(test, numeric)
     check_vocabulary(train, categorical)
     features = feature_pipeline(categorical, numeric, center=center).fit(train)
-    prepared = prepare(features, train, ["label"], numeric)
+    prepared = prepare(features, _with_folds(train, key, folds), ["label", FOLD], numeric)
     held_out = prepare(features, test, ["label"], numeric)
     auc = BinaryClassificationEvaluator(metricName="areaUnderROC")
     fitted = []
@@ -157,13 +168,14 @@ def fit_fare(
     folds: int = 3,
     parallelism: int = 2,
     center: bool = False,
+    key: str = "PNR",
 ) -> Fitted:
     """The fare forest by RMSE, with its test metrics."""
     candidate = candidate or fare_candidate()
     train, test = as_double(train, [*numeric, "Fare"]), as_double(test, [*numeric, "Fare"])
     check_vocabulary(train, categorical)
     features = feature_pipeline(categorical, numeric, center=center).fit(train)
-    prepared = prepare(features, train, ["Fare"], numeric)
+    prepared = prepare(features, _with_folds(train, key, folds), ["Fare", FOLD], numeric)
     held_out = prepare(features, test, ["Fare"], numeric)
     rmse = RegressionEvaluator(labelCol="Fare", metricName="rmse")
     model = _cross_validate(candidate, prepared, rmse, folds, parallelism)

@@ -54,7 +54,8 @@ def add_rolling_delay(
     history = station_day_history(facts, station, date, delay, days, rolling)
     if not keep_history_count:
         history = history.drop("history_count")
-    return join_counted(facts, history, [station, date]).fillna({rolling: 0.0})
+    joined = join_counted(facts, history, [station, date])
+    return joined.withColumn(rolling, F.coalesce(rolling, F.lit(0.0)))
 
 
 def add_maintenance_flag(
