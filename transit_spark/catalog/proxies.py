@@ -102,6 +102,12 @@ def _station(key: str):
     return F.concat(F.lit("N"), F.col(key).cast("string"))
 
 
+def _day_month(date: str):
+    """Text such as ``01-Sep``."""
+    day = F.lpad(F.day(date).cast("string"), 2, "0")
+    return F.concat(day, F.lit("-"), F.monthname(F.col(date).cast("date")))
+
+
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
@@ -124,12 +130,12 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("PNR"),
         (F.lit(10000) + F.col("l_partkey") % 100).cast("int").alias("TrainNo"),
-        F.date_format("o_orderdate", "dd-MMM").alias("BookingDate"),
+        _day_month("o_orderdate").alias("BookingDate"),
         F.col("o_orderpriority").alias("Class"),
         F.col("c_mktsegment").alias("Quota"),
         _station("s_nationkey").alias("FromStation"),
         _station("c_nationkey").alias("ToStation"),
-        F.date_format("l_shipdate", "dd-MMM").alias("TravelDate"),
+        _day_month("l_shipdate").alias("TravelDate"),
         F.when(F.col("l_linestatus") == "O", "Confirmed").otherwise("WL").alias("BookingStatus"),
         F.when(F.col("l_tax") < 0.08, F.col("l_quantity").cast("int")).alias("Passengers"),
         F.when(F.col("l_linenumber") % 2 == 0, "Adult").otherwise("Senior").alias("PassengerType"),
@@ -212,7 +218,7 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("travel_class"),
         _station("c_nationkey").alias("from_station"),
         F.concat(F.lit("N"), (F.col("o_orderkey") % 30).cast("string")).alias("to_station"),
-        F.date_format("o_orderdate", "dd-MMM").alias("travel_date"),
+        _day_month("o_orderdate").alias("travel_date"),
     )
 
 
@@ -250,7 +256,7 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("train_number"),
         _station("c_nationkey").alias("source_station"),
         F.concat(F.lit("N"), (F.col("o_orderkey") % 5).cast("string")).alias("destination_station"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("scheduled_departure"),
+        F.col("o_orderdate").cast("date").cast("string").alias("scheduled_departure"),
     )
 
 

@@ -37,12 +37,12 @@ _UNKNOWN = "'Train ' || {t} || ' not found. Please check the train number and tr
 
 def _lookup(spark, sf_dir) -> DataFrame:
     """The lookup is small next to the facts and read several times, so it is written once."""
-    return stage(dq.lookup(spark, sf_dir))
+    return stage(dq.lookup(spark, sf_dir).drop("delay_min"))
 
 
 def scored(spark, sf_dir, lookup: DataFrame) -> DataFrame:
     requests = px.delay_requests(spark, sf_dir)
-    features = request_features(requests, lookup.drop("delay_min"), dense_codes(lookup, "station", "station_enc"))
+    features = request_features(requests, lookup, dense_codes(lookup, "station", "station_enc"))
     return score_delays(features)
 
 
@@ -83,8 +83,9 @@ def stop_lookup_query(spark, sf_dir) -> DataFrame:
         F.when(elsewhere, "U0").otherwise(F.col("station")).alias("station"),
         "travel_date",
     )
-    stops = scored(spark, sf_dir, _lookup(spark, sf_dir))
-    return stop_lookup(requests, stops.select("train_number", "travel_date", "station", "predicted_delay_min"))
+    lookup = _lookup(spark, sf_dir)
+    stops = scored(spark, sf_dir, lookup).select("train_number", "travel_date", "station", "predicted_delay_min")
+    return stop_lookup(requests, stops, lookup)
 
 
 @query(
@@ -127,7 +128,7 @@ def route_finder(spark, sf_dir) -> DataFrame:
     requests = px.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("source_station"),
         F.concat(F.lit("N"), (F.col("o_custkey") % 6).cast("string")).alias("destination_station"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("scheduled_departure"),
+        F.col("o_orderdate").cast("date").cast("string").alias("scheduled_departure"),
     )
     return find_routes(requests, px.schedule(spark, sf_dir))
 

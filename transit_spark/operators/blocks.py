@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transit_spark.fixed_values import COMPLETE_BLOCKS, MISSING_TEXT
 from transit_spark.operators.ordered import running_sum
-from transit_spark.session import stage
+from transit_spark.session import is_staged, stage
 
 
 def run_blocks(
@@ -20,7 +20,7 @@ def run_blocks(
     pages into cards twice would cost more.
     """
     step = F.when(marker, 1).otherwise(0).cast("bigint")
-    return running_sum(stage(rows), [position], {block: step}, [group])
+    return running_sum(rows if is_staged(rows) else stage(rows), [position], {block: step}, [group])
 
 
 def divider(name: str = "station_name", delay: str = "delay") -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from transit_spark.session import stage
+from transit_spark.session import is_staged, stage
 
 BROADCAST_ROWS = 1_000_000
 
@@ -19,11 +19,7 @@ def counted(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     parquet footers hold the row counts. Above the bound there is no mark, both
     sides of the join are shuffled, and adaptive execution splits hot keys.
     """
-    return mark_counted(stage(small), max_rows)
-
-
-def mark_counted(staged: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same for a table that is staged or published already."""
+    staged = small if is_staged(small) else stage(small)
     return F.broadcast(staged) if staged.count() <= max_rows else staged
 
 

@@ -67,12 +67,14 @@ def lookup_stops(
     return filled.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in lookup.columns})
 
 
-def stop_lookup(requests: DataFrame, scored: DataFrame) -> DataFrame:
+def stop_lookup(requests: DataFrame, scored: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Answer text for requests ``(request_id, train_number, station, travel_date)``.
 
     ``scored`` holds ``(train_number, travel_date, station, predicted_delay_min)``.
+    ``known`` lists the known trains, such as the lookup table; by default they
+    are those that ``scored`` holds.
     """
-    trains = scored.select("train_number").distinct().withColumn("__known", F.lit(True))
+    trains = (scored if known is None else known).select("train_number").distinct().withColumn("__known", F.lit(True))
     matched = requests.join(scored, ["train_number", "travel_date", "station"], "left")
     matched = join_counted(matched, trains, "train_number")
     train, station, minutes = F.col("train_number"), F.col("station"), F.col("predicted_delay_min")

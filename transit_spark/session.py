@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_staged: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def build_session(app_name: str = "transit_spark", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,4 +64,11 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _staged.add(staged)
+    return staged
+
+
+def is_staged(df: DataFrame) -> bool:
+    """Whether ``df`` is itself what ``stage`` returned, so that writing it again would gain nothing."""
+    return df in _staged
