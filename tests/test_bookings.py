@@ -8,6 +8,8 @@ from transit_spark.plans.bookings import (
     CATALOG_COLUMNS,
     CATALOG_ROUTE_KEYS,
     PATH_TO_CATALOG,
+    build_booking_tables,
+    build_catalog_tables,
     request_inputs,
     silver_from_catalog,
     silver_from_path,
@@ -104,6 +106,15 @@ def test_statistics_from_training_rows_only(spark):
         training_set(silver, fit_on="test")
 
 
+def test_layers_are_published(spark, tmp_path, rows):
+    built = build_booking_tables(three(spark), str(tmp_path / "lake"), prefix="t_")
+    assert {k: v.count() for k, v in built.items()} == {"bronze": 3, "silver": 3, "gold": 1}
+    assert spark.table("t_silver").filter("IsWaitlisted = 1").count() == 2
+    trained = build_catalog_tables(rename(three(spark), PATH_TO_CATALOG), "cat_silver", "cat_gold")
+    assert rows(trained, "PNR_Number", "bookings_count") == [("a", 3), ("b", 3), ("c", 3)]
+    assert spark.table("cat_gold").count() == 1
+
+
 def test_reshape(spark, rows):
     df = spark.createDataFrame([(1, 2), (3, 4)], "`a b` INT, c INT")
     assert underscore_names(df).columns == ["a_b", "c"]

@@ -13,26 +13,27 @@ def test_running_sum_with_a_hot_group(spark):
     data = [("hot" if i % 3 else f"g{i % 50}", i, rng.randint(-5, 5)) for i in range(3000)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "g STRING, at INT, v BIGINT").repartition(7)
-    got = {(r.g, r.at): r.total for r in running_sum(df, ["at"], {"total": F.col("v")}, ["g"]).collect()}
     totals, want = {}, {}
     for g, at, v in sorted(data, key=lambda r: r[1]):
         totals[g] = totals.get(g, 0) + v
         want[g, at] = totals[g]
-    assert got == want
+    for largest in (10**6, 500, 10):
+        summed = running_sum(df, ["at"], {"total": F.col("v")}, ["g"], group_rows=largest)
+        assert {(r.g, r.at): r.total for r in summed.collect()} == want
 
 
 def test_running_sum_of_everything_and_null_group(spark):
     df = spark.range(1000).withColumn("g", F.when(F.col("id") % 2 == 0, "a"))
     total = {r.id: r.n for r in running_sum(df, ["id"], {"n": F.lit(1)}).collect()}
     assert total == {i: i + 1 for i in range(1000)}
-    by_group = {r.id: r.n for r in running_sum(df, ["id"], {"n": F.lit(1)}, ["g"]).collect()}
+    by_group = {r.id: r.n for r in running_sum(df, ["id"], {"n": F.lit(1)}, ["g"], group_rows=10).collect()}
     assert by_group == {i: i // 2 + 1 for i in range(1000)}
 
 
 def test_ranges_are_really_cut(spark):
     """The hot group spans several ranges, so no single window holds it."""
     df = spark.range(5000).withColumn("g", F.lit("hot"))
-    plan = running_sum(df, ["id"], {"n": F.lit(1)}, ["g"])._jdf.queryExecution().toString()
+    plan = running_sum(df, ["id"], {"n": F.lit(1)}, ["g"], group_rows=1000)._jdf.queryExecution().toString()
     assert "__range" in plan and "CartesianProduct" not in plan
 
 

@@ -1,13 +1,14 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from transit_spark import schemas
 from transit_spark.operators.weather import standardise_weather
 from transit_spark.sinks.snapshots import current_snapshot, history, publish_snapshot
-from transit_spark.sinks.tables import export_csv, export_documents, publish_path, publish_table, register_external
+from transit_spark.sinks.tables import append_path, export_csv, export_documents, publish_path, publish_table, register_external
 from transit_spark.sources import csv_tables, tables
 from transit_spark.sources.delay_documents import delay_facts, read_delay_documents, rejected_cells, rejected_rows
 from transit_spark.sources.pages import page_cards
@@ -26,7 +27,7 @@ MATRIX = [
             ["2025,1", 1, 1],
             ["soon", 1, 1],
             ["2025,2,1", 7],
-            ["2025,2,2", 8, 9, 10],
+            ["2025,2,2", 8.9, 9, 10],
             ["2025,2,3", "late", 4],
         ],
     }
@@ -102,6 +103,9 @@ def test_path_and_external_tables(spark, tmp_path, rows):
     publish_path(days(spark), path, partition_by="travel_date")
     publish_path(days(spark, 6), path)
     assert tables.read_path(spark, path).count() == 6
+    append_path(days(spark), str(tmp_path / "log"))
+    append_path(days(spark), str(tmp_path / "log"))
+    assert tables.read_path(spark, str(tmp_path / "log")).count() == 8
     assert rows(tables.read_path(spark, path, ["v"], date_to=dt.date(2025, 1, 1))) == [(0,), (2,), (4,)]
     register_external(spark, "external_days", path)
     register_external(spark, "external_days", path)
@@ -135,6 +139,8 @@ def test_partitioned_write_rebalances(spark, tmp_path):
 def test_requests_from_rows(spark, rows):
     made = tables.requests_from_rows(spark, [(12673, dt.date(2026, 4, 2))], schemas.DELAY_REQUESTS)
     assert rows(made) == [(12673, dt.date(2026, 4, 2))]
+    frame = pd.DataFrame({"train_number": [7], "travel_date": [dt.date(2026, 4, 2)]})
+    assert rows(tables.requests_from_rows(spark, frame, schemas.DELAY_REQUESTS), "train_number") == [(7,)]
     from_dicts = tables.requests_from_rows(spark, [{"train_number": 1, "travel_date": dt.date(2026, 4, 2)}], schemas.DELAY_REQUESTS)
     assert rows(from_dicts, "train_number") == [(1,)]
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from transit_spark.session import stage
 
+# Feature columns of the booking models.
 CATEGORICAL = (
     "Class",
     "Quota",

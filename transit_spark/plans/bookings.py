@@ -12,8 +12,9 @@ from transit_spark.functions import bookings as fb
 from transit_spark.functions.numbers import report_round
 from transit_spark.operators.encode import hash_split
 from transit_spark.operators.reshape import underscore_names
-from transit_spark.schemas import BOOKING_REQUESTS
 from transit_spark.operators.routes import ROUTE_KEYS, enrich_routes, lookup_route_stats, route_stats
+from transit_spark.schemas import BOOKING_REQUESTS
+from transit_spark.sinks.tables import publish_path, publish_table, register_external
 
 # Source column of each flag, by layout of the bookings table.
 PATH_LAYOUT = {
@@ -87,6 +88,30 @@ def silver_from_catalog(bookings: DataFrame) -> DataFrame:
     return underscore_names(silver(bookings, CATALOG_LAYOUT, "absent"))
 
 
+def build_booking_tables(raw: DataFrame, root: str, prefix: str = "railways_") -> dict[str, DataFrame]:
+    """Bronze, silver and gold tables as folders under ``root``, each registered in the catalog.
+
+    Every layer is read back from what was published, so nothing is computed twice.
+    """
+    spark = raw.sparkSession
+    layers = {"bronze": lambda: raw, "silver": lambda: silver_from_path(built["bronze"]), "gold": lambda: route_stats(built["silver"])}
+    built: dict[str, DataFrame] = {}
+    for layer, make in layers.items():
+        path = f"{root}/{layer}"
+        publish_path(make(), path)
+        register_external(spark, prefix + layer, path)
+        built[layer] = spark.read.parquet(path)
+    return built
+
+
+def build_catalog_tables(source: DataFrame, silver_table: str, gold_table: str) -> DataFrame:
+    """Silver and gold as managed tables from the catalog layout; returns the training table."""
+    spark = source.sparkSession
+    publish_table(silver_from_catalog(source), silver_table)
+    publish_table(route_stats(spark.table(silver_table), CATALOG_ROUTE_KEYS, **CATALOG_COLUMNS), gold_table)
+    return enrich_routes(spark.table(silver_table), spark.table(gold_table), CATALOG_ROUTE_KEYS)
+
+
 def training_set(
     silver_bookings: DataFrame,
     keys: Sequence[str] = ROUTE_KEYS,

@@ -19,6 +19,7 @@ from transit_spark.operators.weather import backfill_weather
 from transit_spark.sinks.snapshots import publish_snapshot
 from transit_spark.sources.delay_documents import delay_facts
 
+# Feature columns of the delay model, in order.
 FEATURES = (
     "train_number",
     "station_enc",

@@ -23,6 +23,11 @@ def publish_path(df: DataFrame, path: str, partition_by: str | None = None) -> N
     _writer(df, partition_by).parquet(path)
 
 
+def append_path(df: DataFrame, path: str) -> None:
+    """Add rows to a parquet folder, such as a metric log."""
+    df.write.mode("append").parquet(path)
+
+
 def register_external(spark: SparkSession, name: str, path: str) -> None:
     """Name an existing parquet folder in the catalog; an existing table of that name stays."""
     quoted = ".".join(f"`{part}`" for part in name.replace("`", "").split("."))

@@ -21,6 +21,11 @@ def header_label(cell: Column) -> Column:
     return F.coalesce(F.get_json_object(F.when(cell.startswith("{"), cell), "$.label"), cell)
 
 
+def _whole_minutes(cell: Column) -> Column:
+    """A number as whole minutes, fractions cut off; NULL for other text."""
+    return F.coalesce(cell.try_cast("int"), cell.try_cast("double").try_cast("int"))
+
+
 def unpivot_documents(documents: DataFrame) -> DataFrame:
     """One row per train, data row and cell, cells paired with the header by position.
 
@@ -49,7 +54,7 @@ def unpivot_documents(documents: DataFrame) -> DataFrame:
             "train_number",
             "train_name",
             header_label(F.col("header")[F.col("position")]).alias("station"),
-            F.col("cell").try_cast("int").alias("delay_min"),
+            _whole_minutes(F.col("cell")).alias("delay_min"),
             "travel_date",
             "date_text",
             F.col("cell").alias("delay_text"),

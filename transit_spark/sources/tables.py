@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -33,9 +33,9 @@ def read_path(
     return _prune(spark.read.parquet(path), columns, date_column, date_from, date_to)
 
 
-def requests_from_rows(spark: SparkSession, rows: Iterable, schema: StructType | str) -> DataFrame:
-    """A table from a few rows typed by hand, such as one user's question."""
-    return spark.createDataFrame(list(rows), schema)
+def requests_from_rows(spark: SparkSession, rows, schema: StructType | str) -> DataFrame:
+    """A table from a few rows, such as one user's question: tuples, dictionaries or a pandas frame."""
+    return spark.createDataFrame(rows, schema)
 
 
 def _prune(df, columns, date_column, date_from, date_to):
