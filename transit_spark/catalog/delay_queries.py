@@ -51,30 +51,27 @@ def delay_documents(spark, sf_dir) -> DataFrame:
         .groupBy("train_number", "travel_date", "station")
         .agg(F.max("delay_min").cast("string").alias("delay"))
     )
-    # A train has five stations, so a list per train holds days times five cells.
-    per_train = worst.groupBy("train_number").agg(
-        F.sort_array(F.collect_set("station")).alias("stations"),
-        F.map_from_entries(
-            F.collect_list(F.struct(F.concat_ws("|", "travel_date", "station"), F.coalesce("delay", F.lit("none"))))
-        ).alias("cells"),
-        F.sort_array(F.collect_set("travel_date")).alias("dates"),
+    # A train has five stations: lists hold five cells per day, and one row per day.
+    per_day = worst.groupBy("train_number", "travel_date").agg(
+        F.map_from_entries(F.collect_list(F.struct("station", "delay"))).alias("cells")
+    )
+    per_train = per_day.groupBy("train_number").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells"))))).alias("stations"),
+        F.collect_list(F.struct("travel_date", "cells")).alias("days"),
     )
     header = F.transform(
         "stations",
         lambda s: F.when(F.substring(s, -1, 1) < "5", F.to_json(F.struct(s.alias("label")))).otherwise(s),
     )
 
-    def row(date):
+    def row(day):
+        date = day["travel_date"]
         key = F.concat(F.year(date), F.lit(","), F.month(date), F.lit(","), F.day(date))
-        values = F.transform(
-            "stations",
-            lambda s: F.nullif(F.try_element_at("cells", F.concat_ws("|", date, s)), F.lit("none")),
-        )
-        return F.concat(F.array(key), values)
+        return F.concat(F.array(key), F.transform("stations", lambda s: F.try_element_at(day["cells"], s)))
 
     bad = F.array(F.concat(F.array(F.lit("2024,2,30")), F.transform("stations", lambda s: F.lit("1"))))
     short = F.array(F.array(F.lit("2023,12,31"), F.lit("7")))
-    data = F.concat(F.array(F.concat(F.array(F.lit("Date")), header)), F.transform("dates", row), bad, short)
+    data = F.concat(F.array(F.concat(F.array(F.lit("Date")), header)), F.transform("days", row), bad, short)
     return per_train.select(
         F.col("train_number").cast("string").alias("Number"),
         F.concat(F.lit("Train "), F.col("train_number").cast("string")).alias("Name"),

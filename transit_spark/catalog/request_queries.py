@@ -155,11 +155,15 @@ def day_files(spark, sf_dir) -> list[DataFrame]:
     """Scraped delay text in three tables, one per ten days; together they hold every fact."""
     facts = px.facts(spark, sf_dir)
     minutes = F.col("delay_min")
+
+    def two(number):
+        return F.lpad(number.cast("string"), 2, "0")
+
     text = (
         F.when(minutes.isNull(), "N/A")
         .when(minutes == 0, "On Time")
-        .when(minutes < 60, F.format_string("%d Min", minutes))
-        .otherwise(F.format_string("%02d:%02d Hr", F.floor(minutes / 60).cast("int"), minutes % 60))
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" Min")))
+        .otherwise(F.concat(two(F.floor(minutes / 60)), F.lit(":"), two(minutes % 60), F.lit(" Hr")))
     )
     rows = facts.select("train_number", "station", "travel_date", text.alias("delay"))
     day = F.day("travel_date")

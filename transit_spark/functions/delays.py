@@ -31,7 +31,10 @@ def maintenance_flag(rolling: Column, threshold: float = MAINTENANCE_MINUTES) ->
 def delay_minutes(text: Column) -> Column:
     """``On Time``, ``n Min`` and ``hh:mm Hr`` as minutes; NULL for other text."""
     clean = F.trim(text)
-    hours = F.regexp_extract(clean, r"^(\d+):(\d+) Hr$", 1).try_cast("int")
-    rest = F.regexp_extract(clean, r"^(\d+):(\d+) Hr$", 2).try_cast("int")
-    minutes = F.regexp_extract(clean, r"^(\d+) Min$", 1).try_cast("int")
-    return F.when(clean.startswith("On Time"), 0).otherwise(F.coalesce(minutes, hours * 60 + rest))
+    number = F.substring_index(clean, " ", 1)
+    hours, rest = (F.substring_index(number, ":", n).try_cast("int") for n in (1, -1))
+    return (
+        F.when(clean.startswith("On Time"), 0)
+        .when(clean.endswith(" Min"), number.try_cast("int"))
+        .when(clean.endswith(" Hr") & number.contains(":"), hours * 60 + rest)
+    )

@@ -19,10 +19,10 @@ def actual_delays(*days: DataFrame) -> DataFrame:
     """
     together = reduce(DataFrame.unionByName, days)
     return (
-        together.withColumn("minutes", delay_minutes(F.col("delay")))
-        .filter("minutes IS NOT NULL")
+        together.select(*KEYS, delay_minutes(F.col("delay")).alias("minutes"))
         .groupBy(*KEYS)
-        .agg(exact_mean(F.col("minutes")).alias("actual_delay_min"), F.count(F.lit(1)).alias("n_actual"))
+        .agg(exact_mean(F.col("minutes")).alias("actual_delay_min"), F.count("minutes").alias("n_actual"))
+        .filter("n_actual > 0")
     )
 
 
