@@ -155,10 +155,10 @@ def _lookup_sql(weight: str) -> str:
     return (
         px.with_clause(px.BOOKINGS, px.SILVER, px.GOLD, _GLOBAL, px.BOOKING_REQUESTS)
         + f"""SELECT r.request_id, g.rate IS NOT NULL AS route_known,
-       round(coalesce(g.rate, o.route_confirmation_rate), 9) AS route_confirmation_rate,
-       round(CASE WHEN g.rate IS NULL THEN o.avg_distance ELSE g.distance END, 9) AS avg_distance,
-       round(CASE WHEN g.rate IS NULL THEN o.bookings_count ELSE g.bookings END, 9) AS bookings_count,
-       round(CASE WHEN g.rate IS NULL THEN o.avg_distance ELSE g.distance END * 0.5, 9) AS fare_estimate
+       round(coalesce(g.rate, o.route_confirmation_rate), 6) AS route_confirmation_rate,
+       round(CASE WHEN g.rate IS NULL THEN o.avg_distance ELSE g.distance END, 6) AS avg_distance,
+       round(CASE WHEN g.rate IS NULL THEN o.bookings_count ELSE g.bookings END, 6) AS bookings_count,
+       round(CASE WHEN g.rate IS NULL THEN o.avg_distance ELSE g.distance END * 0.5, 6) AS fare_estimate
 FROM booking_requests r CROSS JOIN overall o LEFT JOIN (
   SELECT "FromStation", "ToStation", "Class", sum(route_confirmation_rate * {weight}) / sum({weight}) AS rate,
          sum(avg_distance * {weight}) / sum({weight}) AS distance,
@@ -177,12 +177,13 @@ def _looked_up(spark, sf_dir, weighted: bool) -> DataFrame:
         F.col("to_station").alias("ToStation"),
         F.col("travel_class").alias("Class"),
     )
+    # Averages of averages are sums of doubles in any order, here around a thousand: their last digits are noise.
     found = lookup_route_stats(requests, route_stats(rows), global_stats(rows), weighted=weighted)
     return found.select(
         "request_id",
         "route_known",
         *[
-            F.round(c, 9).alias(c)
+            F.round(c, 6).alias(c)
             for c in ("route_confirmation_rate", "avg_distance", "bookings_count", "fare_estimate")
         ],
     )

@@ -51,8 +51,8 @@ def median_impute(spark, sf_dir) -> DataFrame:
 
 @query(
     "standardise",
-    """SELECT l_orderkey, l_linenumber, round((l_quantity - m.a) / m.s, 9) AS l_quantity_std,
-       round((l_extendedprice - m.b) / m.t, 9) AS l_extendedprice_std
+    """SELECT l_orderkey, l_linenumber, round((l_quantity - m.a) / m.s, 6) AS l_quantity_std,
+       round((l_extendedprice - m.b) / m.t, 6) AS l_extendedprice_std
 FROM lineitem, (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS s, avg(l_extendedprice) AS b,
                        stddev_samp(l_extendedprice) AS t FROM lineitem) m""",
 )
@@ -62,8 +62,8 @@ def standardise(spark, sf_dir) -> DataFrame:
     return scaled.select(
         "l_orderkey",
         "l_linenumber",
-        F.round("l_quantity_std", 9).alias("l_quantity_std"),
-        F.round("l_extendedprice_std", 9).alias("l_extendedprice_std"),
+        F.round("l_quantity_std", 6).alias("l_quantity_std"),
+        F.round("l_extendedprice_std", 6).alias("l_extendedprice_std"),
     )
 
 
