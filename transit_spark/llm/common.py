@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +23,26 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 PIECE_BYTES = 8 << 20
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that tasks can import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_transit_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="transit-code-"), "transit_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._transit_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import quality, sharding
+from transit_spark.llm import piece_table, quality, sharding, token_files
 from transit_spark.llm.common import documents
 from transit_spark.session import checkpoint_root, stage
 
@@ -20,6 +20,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def vocabulary(name: str) -> str:
+    """Place of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _quality_sql() -> str:
     def condition(rule: quality.Rule) -> str:
         measure = rule.measure.replace("/ nullif", "/ nullif")
@@ -56,6 +63,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged"""
 
 
+@REGISTRY.query("op3_packed_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(documents(spark, sf_dir), folder(spark, "token-ids"), vocabulary("word_bpe_49k.json"))
+    return token_files.read_token_files(files)
+
+
+@REGISTRY.query("op4_last_token_table")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 @REGISTRY.query("op7_quality_rules", oracle=_quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(documents(spark, sf_dir))
