@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import piece_table, quality, sharding, token_files
+from transit_spark.llm import language, piece_table, quality, sharding, token_files
 from transit_spark.llm.common import documents
 from transit_spark.session import checkpoint_root, stage
 
@@ -82,6 +82,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query("op8_cross_parsing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language.labelled_sample(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @REGISTRY.query("op10_virtual_slots")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.slotted(documents(spark, sf_dir))
