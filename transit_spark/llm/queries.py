@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, piece_table, quality, sharding, token_files
+from transit_spark.llm import language, mixing, piece_table, quality, sharding, token_files
 from transit_spark.llm.common import documents
 from transit_spark.session import checkpoint_root, stage
 
@@ -74,6 +74,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+@REGISTRY.query("op5_flow_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("taken_by")[0]
+    return mixing.mix(documents(spark, sf_dir), F.array("source")).select(
+        "doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken"
+    )
+
+
 @REGISTRY.query("op7_quality_rules", oracle=_quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(documents(spark, sf_dir))
