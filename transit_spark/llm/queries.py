@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, mixing, partenum, piece_table, quality, sharding, token_files
+from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, sharding, token_files
 from transit_spark.llm.common import documents
 from transit_spark.session import checkpoint_root, stage
 
@@ -102,6 +102,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@REGISTRY.query("op9_fuzzy_lines")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    size = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return lines.dedup_lines(docs).select(
+        "doc_id",
+        size.alias("n_lines_kept"),
+        F.col("__removed").alias("n_lines_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @REGISTRY.query("op10_virtual_slots")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.slotted(documents(spark, sf_dir))
