@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, sharding, token_files
+from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, run_index, sharding, token_files
 from transit_spark.llm.common import documents
 from transit_spark.session import checkpoint_root, stage
 
@@ -63,6 +63,11 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged"""
 
 
+@REGISTRY.query("op1_run_length_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.repeated_strings(documents(spark, sf_dir)).drop("kept")
+
+
 @REGISTRY.query("op2_partenum_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(documents(spark, sf_dir))
