@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, run_index, sharding, token_files
-from transit_spark.llm.common import documents
+from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, run_index, sharding, small_world, token_files
+from transit_spark.llm.common import documents, ship_code
 from transit_spark.session import checkpoint_root, stage
 
 REGISTRY = Registry()
@@ -92,6 +92,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query("op6_small_world_graphs")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    return small_world.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @REGISTRY.query("op7_quality_rules", oracle=_quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(documents(spark, sf_dir))
