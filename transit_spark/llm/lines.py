@@ -24,6 +24,7 @@ SIMILARITY = 0.8
 #: Lines as similar as 0.8 meet in a band with a probability of 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 ROWS, BANDS = 4, 12
 BUCKET_BYTES = 4 << 20
+PART_CHARS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -86,6 +87,19 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return mix64(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE & 0xFFFFFFFF))
 
 
+def parts_of(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines with about ``PART_CHARS`` characters, which bounds the arrays of a signature."""
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if size >= PART_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def distinct_lines(texts: list[str | None]) -> dict[int, str]:
     found: dict[int, str] = {}
     for text in texts:
@@ -102,7 +116,7 @@ def candidate_groups(rows: DataFrame, n_buckets: int) -> DataFrame:
             found = distinct_lines(batch.column("text").to_pylist())
             if not found:
                 continue
-            keys = band_keys(list(found.values())).ravel()
+            keys = np.concatenate([band_keys(part) for part in parts_of(list(found.values()))]).ravel()
             nodes = np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
             bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             packed = list(pack(bucket, n_buckets, keys.astype(np.uint32), nodes))
