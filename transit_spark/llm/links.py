@@ -7,6 +7,7 @@ change the result any more, and only pairs across components are still verified.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from transit_spark.session import stage
 
 #: Groups up to this size give all their pairs at once; larger ones go by star, then across components.
 PAIRED = 6
+#: Rounds of one test per node before all pairs across components are verified.
+ROUNDS = 6
 
 GROUPS = "kind string, a long, b long, members binary"
 
@@ -68,26 +71,52 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) from rows of ``GROUPS``; ``verify`` keeps the pairs (a, b) that are linked.
 
-    First each node is verified against its smallest partner only. What these links leave apart is verified in full:
-    all other pairs across components, and across the components of large groups.
+    First each node is verified against its smallest partner. Then, round by round, nodes that are still apart from
+    others of their groups are verified against one of those, the hub of the round. Groups of near copies grow
+    together so with one test per node and round. When few pairs across components are left, or after ``ROUNDS``
+    rounds, all that are left are verified, so no link is lost.
     """
-    pairs = groups.where("kind = 'pair'").select("a", "b").distinct()
-    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    near = stage(verify(first))
-    known = components(near)
-
-    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        found = known.select(F.col("node").alias(node), F.col("component").alias(label))
-        return df.join(found, node, "left").withColumn(label, F.coalesce(label, node))
-
-    apart = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    pairs = stage(groups.where("kind = 'pair'").select("a", "b").distinct())
     large = groups.where("kind = 'group'").select(F.xxhash64("members").alias("key"), "members").dropDuplicates(["members"])
-    rows = labelled(large.mapInArrow(_unpack, "key long, node long"), "node", "c")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    rows = stage(rows.join(mixed, "key"))
+    rows = stage(large.mapInArrow(_unpack, "key long, node long"))
+    n_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+    tested = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    near = stage(verify(tested))
+    turn = 0
+    while True:
+        known = components(near)
+
+        def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+            found = known.select(F.col("node").alias(node), F.col("component").alias(label))
+            return df.join(found, node, "left").withColumn(label, F.coalesce(label, node))
+
+        # what may still join components: pairs across them, groups with several of them
+        apart = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+        pairs = stage(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        marked = stage(labelled(rows.select("key", "node"), "node", "c"))
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("c").alias("hub_c")))
+        sizes = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), hub.alias("hub"))
+        rows = stage(marked.join(sizes.where("low < high"), "key").select("key", "node", "c", "n", "low", "hub.hub", "hub.hub_c"))
+        left = rows.where("c <> low").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + pairs.count()
+        if left <= 2 * n_nodes or turn >= ROUNDS:
+            break
+        turn += 1
+        star = rows.where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("node").alias("of"))
+        tests = star.unionByName(pairs.select("a", "b", F.col("b").alias("of")))
+        one = F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("t")
+        now = stage(tests.groupBy("of").agg(one).select("t.a", "t.b").distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = stage(tested.unionByName(now))
+        near = stage(near.unionByName(verify(now)))
+        _tidy(groups)
     # members outside the group's smallest component, against all: the others are joined already
-    left = rows.where("c <> low").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    right = rows.select(F.col("key").alias("ky"), F.col("node").alias("y"), F.col("c").alias("cy"))
-    across = left.join(right, F.expr("key = ky and cx <> cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = stage(apart.unionByName(across).distinct().join(first, ["a", "b"], "left_anti"))
+    outside = rows.where("c <> low").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    every = rows.select(F.col("key").alias("ky"), F.col("node").alias("y"), F.col("c").alias("cy"))
+    across = outside.join(every, F.expr("key = ky and cx <> cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = stage(pairs.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"))
     return components(near.unionByName(verify(rest)))
+
+
+def _tidy(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of rounds that are over: it does once their plans are collected as garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

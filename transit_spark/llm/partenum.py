@@ -160,6 +160,8 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(owners, kind="stable")
             rows = list(pack(bucket[order], n_buckets, keys[order].astype(np.uint32), ids[owners[order]]))
+            # sizes travel in buckets of their own, below 0
+            rows.append((-1 - int(keys[0] % np.uint64(n_buckets)) if len(keys) else -1, np.array([len(s) for s in sets], np.uint32).tobytes(), ids.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                 ["bucket", "keys", "ids"],
@@ -168,6 +170,9 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
         nodes = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        if table.column("bucket")[0].as_py() < 0:
+            kinds = pa.array(["size"] * len(keys), pa.string())
+            return pa.table({"kind": kinds, "a": pa.array(nodes), "b": pa.array(keys.astype(np.int64)), "members": pa.nulls(len(keys), pa.binary())})
         rows = list(split_groups(keys, nodes))
         empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "members": pa.binary()}
         return pa.Table.from_batches(rows) if rows else pa.table({k: pa.array([], t) for k, t in empty.items()})
@@ -194,6 +199,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
 
     sets = stage(rows.join(involved, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, elements array<long>"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            n = [len(shingle_set(t, shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
+
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
@@ -203,10 +213,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
 
     found = linked_components(groups, verify).select(F.col("node").alias("doc_id"), "component")
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            n = [len(shingle_set(t, shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
-
-    counted = rows.mapInArrow(sizes, "doc_id long, n_shingles long")
+    # rows without an id or a word were not sent on
+    sizes = groups.where("kind = 'size'").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
+    own = rows.select("doc_id", "text")
+    known = own.select("doc_id").join(sizes, "doc_id", "left").where("doc_id is not null")
+    loose = own.where("doc_id is null").mapInArrow(count, "doc_id long, n_shingles long")
+    counted = known.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).unionByName(loose)
     return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
