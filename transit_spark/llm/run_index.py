@@ -31,7 +31,7 @@ LENGTH = 100
 GRAM = 20
 CHUNK_BYTES = 4 << 20
 UNIT_BYTES = 1 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
