@@ -56,7 +56,7 @@ def split_groups(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch
 
 def _rows(kind: str, a, b, members) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(members or [None] * len(a), pa.binary())],
+        [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(members or [None] * len(a), pa.binary())],
         ["kind", "a", "b", "members"],
     )
 
