@@ -32,6 +32,7 @@ GRAM = 20
 CHUNK_BYTES = 4 << 20
 UNIT_BYTES = 1 << 20
 BUCKET_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -316,13 +317,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         leads = by[~copies[by]]
         _, group, size = np.unique(hashes[leads], return_inverse=True, return_counts=True)
         leads = leads[size[group] > 1]
-        if len(leads):
-            index = RunIndex([texts[w] for w in which[leads]], length)
+        # one index holds whole anchors, as many as fit into ``INDEX_BYTES``
+        sizes = np.array([len(t) for t in texts], np.int64)
+        anchor = np.unique(hashes[leads], return_inverse=True)[1]
+        of_anchor = np.bincount(anchor, sizes[which[leads]]).astype(np.int64)
+        batch = ((np.cumsum(of_anchor) - of_anchor) // INDEX_BYTES)[anchor]
+        order = np.argsort(batch, kind="stable")
+        for own in np.split(leads[order], np.flatnonzero(np.diff(batch[order])) + 1):
+            if not len(own):
+                continue
+            index = RunIndex([texts[w] for w in which[own]], length)
             place, earlier = index.earliest()
             place = place[earlier < place]
             text = np.searchsorted(index.starts, place, side="right") - 1
             shift = place - index.starts[text]
-            lead = leads[text]
+            lead = own[text]
             start = first[lead] + shift
             order = np.lexsort((start, lead))
             lead, start = lead[order], start[order]
