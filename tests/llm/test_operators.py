@@ -61,8 +61,8 @@ def test_partenum_null_ids(spark):
 @pytest.mark.parametrize("percent", [80, 85, 90])
 def test_linked_sets_always_share_a_signature(percent):
     rng = np.random.default_rng(percent)
-    for _ in range(150):
-        size = int(rng.integers(1, 90))
+    for k in range(200):
+        size = int(rng.integers(1, 90) if k < 150 else rng.integers(90, 3000))
         one = np.unique(rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64))
         other = one[rng.permutation(len(one))[: max(1, len(one) - int(rng.integers(0, 1 + len(one) // 8)))]]
         other = np.unique(np.r_[other, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(one) // 12)), dtype=np.int64).astype(np.uint64)])

@@ -5,8 +5,12 @@ sets differ by at most k elements. The domain is dealt into n1 parts, of which o
 differing elements, and each part into three cells; leaving out each cell in turn gives three signatures of a part,
 one of which is free of differences. So linked sets always share a signature, and every pair that does is verified.
 
-A signature without elements says nothing; it is replaced by itself combined with all signatures of a second, independent
-dealing, which linked sets share as well. Signatures of near copies spread over all buckets, since each set has many.
+A signature without elements says nothing. Where there are few parts, it is replaced by itself combined with all
+signatures of a second, independent dealing, which linked sets share as well. Where there are many, that would take the
+square of their number, and it is left out: a part is free of differences, or has one and elements in other cells, with
+a probability of 0.38 or more even for sets that only just link, so all ``SURE_PARTS`` parts, of one dealing or
+of several, fail with less than 3e-17, as rare as equal hashes of different shingles. Signatures of near copies spread
+over all buckets, since each set has many.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from transit_spark.session import stage
 BUCKET_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 CELLS = 3
+#: From this number of parts on, signatures without elements are left out, and sets dealt until there are ``SURE_PARTS``.
+MANY_PARTS = 20
+SURE_PARTS = 80
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -84,10 +91,19 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             top_own = starts[band + 1] - 1
             differ = np.where(below, top_own * 2 * (100 - percent) // (100 + percent), differ)
         parts = np.maximum(1, (differ + 2) // 2)
+        many = parts >= MANY_PARTS
         use = live[owner]
         s, o, light = _enumerated(elements[use], owner[use], len(sets), np.where(live, parts, 0), differ, joint, 1)
         keys.append(s[~light])
         owners.append(o[~light])
+        dealings = np.where(live & many, -(-SURE_PARTS // parts), 1)
+        for nth in range(1, int(dealings.max(initial=1))):
+            more = dealings > nth
+            use = more[owner]
+            s2, o2, light2 = _enumerated(elements[use], owner[use], len(sets), np.where(more, parts, 0), differ, joint, 2 + nth)
+            keys.append(s2[~light2])
+            owners.append(o2[~light2])
+        light &= ~many[o]
         if light.any():
             weak_s, weak_o = s[light], o[light]
             again = np.zeros(len(sets), bool)
