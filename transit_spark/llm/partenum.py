@@ -9,7 +9,7 @@ A signature without elements says nothing. Where there are few parts, it is repl
 signatures of a second, independent dealing, which linked sets share as well. Where there are many, that would take the
 square of their number, and it is left out: a part is free of differences, or has one and elements in other cells, with
 a probability of 0.38 or more even for sets that only just link, so all ``SURE_PARTS`` parts, of one dealing or
-of several, fail with less than 3e-17, as rare as equal hashes of different shingles. Signatures of near copies spread
+of several, fail with an estimated probability below 3e-17. Signatures of near copies spread
 over all buckets, since each set has many.
 """
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     """(doc_id, n_shingles, component_id) for every row.
 
     Two documents are linked when ``100 * common >= percent * union`` of their distinct shingles; every such pair is
-    found. NULL, empty and blank texts have no shingles and are linked with nothing. Equal texts are linked. Rows with
+    found, for sets of many parts up to the probability named above. NULL, empty and blank texts have no shingles and are linked with nothing. Equal texts are linked. Rows with
     equal ids count as one document; a NULL id is linked with nothing and its component is NULL.
     """
     rows = keyed(docs, id_col, text_col)
