@@ -203,7 +203,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         right = texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
         return pairs.join(left, "a").join(right, "b").mapInArrow(_similar, "a long, b long")
 
-    found = linked_components(groups, verify)
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "line"):
+            own = [np.array(sorted(map(node, shingles(line))), np.int64) for line in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "elements"])
+
+    sets = texts.mapInArrow(to_sets, "node long, elements array<long>")
+    found = linked_components(groups, verify, sets, round(100 * SIMILARITY))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

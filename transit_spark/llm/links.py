@@ -3,6 +3,10 @@
 Groups say which records may be linked. Small groups give all their pairs. A large group first gives a star around
 its smallest record; once those links are verified and joined to components, a pair inside one component cannot
 change the result any more, and only pairs across components are still verified. No group is cut short.
+
+Groups overlap: near copies share many signatures, so the same pair lies in many groups. What is left after the rounds
+is therefore not joined member by member. Nodes go into blocks of a bounded size, by the largest group each is in, and
+two blocks that share a group meet once, as one tile. A task compares the sets of a tile and gives the links alone.
 """
 
 from __future__ import annotations
@@ -21,7 +25,13 @@ from transit_spark.session import stage
 #: Groups up to this size give all their pairs at once; larger ones go by star, then across components.
 PAIRED = 6
 #: Rounds of one test per node before all pairs across components are verified.
-ROUNDS = 6
+ROUNDS = 3
+#: A block holds about so many elements; a node counts ``NODE_ELEMENTS`` besides its own, which bounds the nodes.
+BLOCK_ELEMENTS = 1 << 16
+NODE_ELEMENTS = 64
+#: Elements that one task of tiles is sent at a time, about, and columns of the matrices it multiplies.
+TASK_ELEMENTS = 1 << 20
+COLUMNS = 4096
 
 GROUPS = "kind string, a long, b long, members binary"
 
@@ -68,13 +78,98 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), group)), pa.array(nodes)], ["key", "node"])
 
 
-def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _common(elements: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    out = np.zeros((len(elements), len(others)), np.float32)
+    if not out.size:
+        return out
+    flat = [np.concatenate(side) for side in (elements, others)]
+    both = np.intersect1d(*flat)
+    places = []
+    for values, side in zip(flat, (elements, others)):
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        there = both[at] == values if len(both) else np.zeros(len(values), bool)
+        places.append((np.repeat(np.arange(len(side)), [len(x) for x in side])[there], at[there]))
+    for low in range(0, len(both), COLUMNS):
+        width, sides = min(COLUMNS, len(both) - low), []
+        for (owner, at), side in zip(places, (elements, others)):
+            use = (at >= low) & (at < low + width)
+            matrix = np.zeros((len(side), width), np.float32)
+            matrix[owner[use], at[use] - low] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tile_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Linked pairs (a < b) of nodes at the places x and y, of those that differ in their label."""
+    values, counts = np.unique(labels[np.r_[x, y]], return_counts=True)
+    usual = values[counts.argmax()]
+    found = []
+    for own, other in ((x[labels[x] != usual], y), (x[labels[x] == usual], y[labels[y] != usual])):
+        common = _common([sets[k] for k in own], [sets[k] for k in other])
+        sizes = [np.array([len(sets[k]) for k in side], np.float64) for side in (own, other)]
+        linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+        i, j = np.nonzero(linked & (labels[own][:, None] != labels[other][None, :]))
+        found.append(np.sort(np.stack([nodes[own[i]], nodes[other[j]]], axis=1), axis=1))
+    return np.concatenate(found)
+
+
+def _links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes with different ``c`` of a group: ``rows`` has key, node, c and the group's size n.
+
+    A pair of blocks that share a group is compared in full, so a link may also come from two nodes that share none.
+    """
+    home = rows.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"), F.min("c").alias("c"))
+    weighed = home.join(sets, "node").withColumn("weight", F.size("elements") + F.lit(NODE_ELEMENTS))
+    loads = weighed.groupBy("home").agg(F.sum("weight").alias("load"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / BLOCK_ELEMENTS))
+    placed = stage(weighed.join(loads, "home").select("node", "c", "elements", "weight", F.xxhash64("home", part).alias("block")))
+    own = placed.select("node", "block")
+    held = rows.join(own, "node").groupBy("key", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    shapes = held.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("blocks"))
+    shapes = shapes.select("blocks").distinct().select(F.xxhash64("blocks").alias("shape"), F.explode("blocks").alias("x"))
+    held = stage(shapes.select("shape", "x.*"))
+    right = held.select(F.col("shape").alias("s"), F.col("block").alias("bb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    meet = held.join(right, F.expr("shape = s and block <= bb and (low <> high or lb <> hb or low <> lb)"))
+    tiles = meet.select(F.col("block").alias("ba"), "bb").distinct()
+    sides = stage(tiles.select("ba", "bb", F.explode(F.array_distinct(F.array("ba", "bb"))).alias("block")))
+    weights = placed.groupBy("block").agg(F.sum("weight").alias("weight"))
+    load = sides.join(weights, "block").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    n_tasks = max(12, -(-load // TASK_ELEMENTS))
+    sent = sides.join(placed.drop("weight"), "block").withColumn("task", F.pmod(F.xxhash64("ba", "bb"), F.lit(n_tasks)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ba, bb, block, nodes, labels = (table.column(k).to_numpy() for k in ("ba", "bb", "block", "node", "c"))
+        lists = table.column("elements").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        order = np.lexsort((block, bb, ba))
+        a, b = ba[order], bb[order]
+        cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        found = [np.empty((0, 2), np.int64)]
+        for low, high in zip(cuts, np.r_[cuts[1:], len(order)]):
+            own = order[low:high]
+            first = block[own] == ba[own[0]]
+            x = own[first]
+            found.append(_tile_links(nodes, labels, sets, x, x if ba[own[0]] == bb[own[0]] else own[~first], percent))
+        linked = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(linked[:, 0]), "b": pa.array(linked[:, 1])})
+
+    return sent.groupBy("task").applyInArrow(compare, "a long, b long")
+
+
+def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) from rows of ``GROUPS``; ``verify`` keeps the pairs (a, b) that are linked.
 
+    ``sets`` has a row (node, elements) of distinct 64-bit elements for every node of a group; two are linked when
+    100 * common >= ``percent`` * union.
+
     First each node is verified against its smallest partner. Then, round by round, nodes that are still apart from
     others of their groups are verified against one of those, the hub of the round. Groups of near copies grow
     together so with one test per node and round. When few pairs across components are left, or after ``ROUNDS``
-    rounds, all that are left are verified, so no link is lost.
+    rounds, all that are left are compared, so no link is lost.
     """
     pairs = stage(groups.where("kind = 'pair'").select("a", "b").distinct())
     large = groups.where("kind = 'group'").select(F.xxhash64("members").alias("key"), "members").dropDuplicates(["members"])
@@ -108,12 +203,9 @@ def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame
         tested = stage(tested.unionByName(now))
         near = stage(near.unionByName(verify(now)))
         _tidy(groups)
-    # members outside the group's smallest component, against all: the others are joined already
-    outside = rows.where("c <> low").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    every = rows.select(F.col("key").alias("ky"), F.col("node").alias("y"), F.col("c").alias("cy"))
-    across = outside.join(every, F.expr("key = ky and cx <> cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = stage(pairs.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"))
-    return components(near.unionByName(verify(rest)))
+    # groups with several components: the members that differ in theirs, tile by tile
+    links = near.unionByName(verify(pairs)).unionByName(_links_across(rows.select("key", "node", "c", "n"), sets, percent))
+    return components(links)
 
 
 def _tidy(df: DataFrame) -> None:

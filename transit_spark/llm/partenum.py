@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
         both = pairs.join(left, "a").join(right, "b").withColumn("common", common)
         return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
-    found = linked_components(groups, verify).select(F.col("node").alias("doc_id"), "component")
+    found = linked_components(groups, verify, sets.withColumnRenamed("doc_id", "node"), percent).select(F.col("node").alias("doc_id"), "component")
 
     # rows without an id or a word were not sent on
     sizes = groups.where("kind = 'size'").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
