@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, run_index, sharding, small_world, token_files
+from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, queries_pages, run_index, sharding, small_world, token_files
 from transit_spark.llm.common import documents, ship_code
 from transit_spark.session import checkpoint_root, stage
 
 REGISTRY = Registry()
+REGISTRY.queries.update(queries_pages.REGISTRY.queries)
+REGISTRY.oracles.update(queries_pages.REGISTRY.oracles)
 
 
 def folder(spark: SparkSession, name: str) -> str:
