@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterato
         if not batch.num_rows:
             continue
         sizes = np.nan_to_num(
-            np.asarray(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), dtype=np.float64)
+            np.asarray(pc.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), dtype=np.float64)
         )
         part = ((np.cumsum(sizes) - sizes) // PIECE_BYTES).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])

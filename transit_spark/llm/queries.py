@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
-from transit_spark.llm import language, lines, mixing, partenum, piece_table, quality, queries_pages, run_index, sharding, small_world, token_files
+from transit_spark.llm import (
+    language,
+    lines,
+    mixing,
+    partenum,
+    periodic_runs,
+    piece_table,
+    quality,
+    queries_pages,
+    run_index,
+    sharding,
+    small_world,
+    token_files,
+)
 from transit_spark.llm.common import documents, ship_code
 from transit_spark.session import checkpoint_root, stage
 
@@ -145,3 +158,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@REGISTRY.query("op12_square_catching")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods in every text, after the stated change of some texts."""
+    found = periodic_runs.periodic_runs(documents(spark, sf_dir), rewrite=periodic_runs.planted_tail)
+    best = F.col("best")
+    return found.withColumn("best", F.expr("if(size(runs) > 0, runs, null)")).withColumn("best", periodic_runs.strongest("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines().cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
