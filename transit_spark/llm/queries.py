@@ -21,6 +21,7 @@ from transit_spark.llm import (
     sharding,
     small_world,
     token_files,
+    whitening,
 )
 from transit_spark.llm.common import documents, ship_code
 from transit_spark.session import checkpoint_root, stage
@@ -175,3 +176,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(periodic_runs.run_lines().cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@REGISTRY.query("op13_polarised_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector of the table."""
+    ship_code(spark)
+    return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("doc_id", "vec_id")
