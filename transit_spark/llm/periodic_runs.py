@@ -55,6 +55,8 @@ class SquareCatcher:
         self.last: dict[int, int] = {}  # where each word was last
         self.streak = 0  # so many words up to here ended four words that may have been there before
         self.prefix = array("Q", [0])  # of every prefix, as far as needed, its value as a number to BASE
+        self.powers: dict[int, int] = {}
+        self.blocks: dict[int, list] = {}  # size of blocks: where the next one starts, the hashes of those before
 
     def extend(self, words: list[int]) -> None:
         x, agreeing, seen, last = self.words, self.agreeing, self.seen, self.last
@@ -83,31 +85,46 @@ class SquareCatcher:
         self.streak = streak
 
     def _catch(self, at: int, streak: int) -> None:
-        """Compare the last words with the watched blocks of every level that can match after such a streak."""
+        """Compare the last words with the watched blocks of every level that can match after such a streak.
+
+        Words that equal a block of one level equal, in their later half, a block of the level below, so the search
+        ends at the first level without such a block.
+        """
         x, agreeing, d, size = self.words, self.agreeing, self.words[at], 4
+        # of every period that holds now, the sizes for which the last words are such a block
+        unwatched = [(4 * q, at + 1 - first + q) for q, first in agreeing.items()]
         while size - 3 <= streak and 3 * size <= at + 1:
+            top = max([most for least, most in unwatched if least <= size <= most], default=0)
+            if top:
+                size = 1 << top.bit_length()
+                continue
             here, half = at + 1 - size, size >> 1
-            if not any(4 * q <= size and first - q <= here for q, first in agreeing.items()):
-                block = (here - 2 * size) // half * half
-                while block >= 0 and block > here - 4 * size:
-                    if x[block] == x[here] and x[block + size - 1] == d and here - block not in agreeing:
-                        if self._equal(block, here, size):
+            if size > 4 and self._hash(here, size) not in self._watched(size, at + 1):
+                return
+            for block in range((here - 2 * size) // half * half, max(-1, here - 4 * size), -half):
+                if x[block] == x[here] and x[block + size - 1] == d and here - block not in agreeing:
+                    if size < 16 or self._hash(block, size) == self._hash(here, size):
+                        if x[block : block + size] == x[here : at + 1]:
                             self._open(here - block, here)
-                    block -= half
             size *= 2
 
-    def _equal(self, block: int, here: int, size: int) -> bool:
-        if size > 16 and self._hash(block, size) != self._hash(here, size):
-            return False
-        return self.words[block : block + size] == self.words[here : here + size]
+    def _watched(self, size: int, end: int) -> set[int]:
+        """Hashes of all blocks of a level that end by ``end``; new ones are added when the level is first asked."""
+        level = self.blocks.setdefault(size, [0, set()])
+        for start in range(level[0], end - size + 1, size >> 1):
+            level[1].add(self._hash(start, size))
+            level[0] = start + (size >> 1)
+        return level[1]
 
     def _hash(self, start: int, size: int) -> int:
-        prefix, x = self.prefix, self.words
-        value = prefix[-1]
-        for k in range(len(prefix) - 1, start + size):
-            value = (value * BASE + x[k] + 1) % MODULUS
-            prefix.append(value)
-        return (prefix[start + size] - prefix[start] * pow(BASE, size, MODULUS)) % MODULUS
+        prefix = self.prefix
+        if start + size >= len(prefix):
+            value, x = prefix[-1], self.words
+            for k in range(len(prefix) - 1, len(x)):
+                value = (value * BASE + x[k] + 1) % MODULUS
+                prefix.append(value)
+        power = self.powers.get(size) or self.powers.setdefault(size, pow(BASE, size, MODULUS))
+        return (prefix[start + size] - prefix[start] * power) % MODULUS
 
     def _open(self, p: int, first: int) -> None:
         """A stretch of period ``p``, from where the suffixes differ when compared back."""
@@ -177,7 +194,7 @@ def periodic_runs(
     period. ``collapsed`` is the text without the words that any run has after its first period, joined by single
     spaces. A NULL, empty or blank text has no words, no runs and an empty collapsed text. Rows with NULL or repeated
     ids are each returned; an empty table gives no rows; other columns are not read. Of stretches found under several
-    periods the smallest counts. A text is held by one task, with about 30 bytes a word. ``rewrite`` may change the
+    periods the smallest counts. A text is held by one task, with up to about 100 bytes a word. ``rewrite`` may change the
     word numbers of a text before runs are sought.
     """
     if least_periods < LEAST_PERIODS:
