@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from transit_spark import schemas
@@ -92,25 +93,47 @@ def test_backfill(spark, rows):
         spark, [("A", d(1), 61, 4.0, 3), ("A", d(1), 0, 2.0, 0), (None, d(1), 95, 9.0, 4), ("A", None, 1, 1.0, 1)]
     )
     columns = ["station", "weather_code", "precipitation_mm", "weather_risk_score"]
-    assert rows(backfill_weather(facts, weather), *columns) == [
+    assert rows(backfill_weather(facts, weather, dedupe=None), *columns) == [
         ("A", 0.0, 2.0, 0.0),
         ("A", 61.0, 4.0, 3.0),
         ("B", 52.0, 5.0, 7 / 3),
         ("C", 0.0, 0.0, 0.0),
     ]
-    assert rows(backfill_weather(facts, weather, dedupe="mean"), *columns)[0] == ("A", 30.5, 3.0, 1.5)
+    assert rows(backfill_weather(facts, weather), *columns) == [
+        ("A", 30.5, 3.0, 1.5),
+        ("B", 52.0, 5.0, 7 / 3),
+        ("C", 0.0, 0.0, 0.0),
+    ]
     assert rows(backfill_weather(facts, weather, matched_only=True).filter("station = 'B'"), *columns) == [("B", 30.5, 3.0, 1.5)]
-    assert backfill_weather(facts, weather, dedupe="mean").count() == facts.count()
+    assert backfill_weather(facts.union(facts), weather.union(weather)).count() == 2 * facts.count()
     assert daily_weather(weather).count() == 2
 
 
+def test_one_station_per_cell(spark, rows):
+    weather = spark.range(10_000).selectExpr("id", "10.0 + id / 1e7D as latitude", "20.0D as longitude")
+    stations = spark.range(500).selectExpr(
+        "concat('S', id) as station_code", "concat('n', id) as station_name", "10.0 - (id + 1) / 1e6D as latitude", "20.0D as longitude"
+    )
+    twice = stations.union(spark.sql("SELECT 'S', 'n', 10.0D - 1 / 1e6D, 20.0D"))
+    joined = attach_stations(weather, twice)
+    assert joined.count() == 10_000 == joined.where("station_code = 'S'").count()
+    assert joined.columns == ["id", "latitude", "longitude", "station_code", "station_name"]
+    nothing = attach_stations(weather, stations.limit(0))
+    assert nothing.count() == 10_000 and nothing.where("station_code is not null").count() == 0
+    missing = spark.sql("SELECT 1 AS id, CAST(NULL AS DOUBLE) AS latitude, 20.0D AS longitude")
+    assert rows(attach_stations(missing, missing.selectExpr("'X' AS station_code", "'x' AS station_name", "latitude", "longitude")), "station_code") == [(None,)]
+    with pytest.raises(ValueError):
+        attach_stations(weather, stations, matches="some")
+
+
 def test_nearest_station_keeps_all_matches(spark, rows):
     weather = spark.createDataFrame([(1, 10.004, 20.0), (2, -0.001, 0.001), (3, 50.0, 50.0)], "i INT, latitude DOUBLE, longitude DOUBLE")
     stations = spark.createDataFrame(
-        [("A", "a", 10.001, 20.004), ("B", "b", 9.996, 19.999), ("Z", "z", 0.0, 0.0)],
+        [("A", "a", 10.001, 20.003), ("B", "b", 9.996, 19.999), ("Z", "z", 0.0, 0.0)],
         "station_code STRING, station_name STRING, latitude DOUBLE, longitude DOUBLE",
     )
-    joined = attach_stations(weather, stations)
+    assert rows(attach_stations(weather, stations), "i", "station_code") == [(1, "A"), (2, "Z"), (3, None)]
+    joined = attach_stations(weather, stations, matches="all")
     assert rows(joined, "i", "station_code") == [(1, "A"), (1, "B"), (2, "Z"), (3, None)]
     assert rows(match_coverage(joined, "station_code")) == [(4, 3, 1, 75.0)]
 
@@ -183,7 +206,9 @@ def test_stop_lookup(spark, rows):
         [(0, 1, "A", d(1)), (1, 1, "Q", d(1)), (2, 5, "A", d(1))],
         "request_id INT, train_number INT, station STRING, travel_date DATE",
     )
-    assert [a for _, a in rows(stop_lookup(requests, scored), "request_id", "answer")] == [
+    again = spark.createDataFrame([(1, d(1), "A", 9.0), (1, d(1), "A", 7.5)], scored.schema)
+    assert stop_lookup(requests, scored.union(again)).count() == 3
+    assert [a for _, a in rows(stop_lookup(requests, scored.union(again)), "request_id", "answer")] == [
         "Predicted Delay at A: 7.50 minutes",
         "Station 'Q' not found in route for train 1",
         "Error: Train 5 not found. Please check the train number and try again.",

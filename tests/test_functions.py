@@ -81,6 +81,11 @@ def test_delay_minutes(spark):
     assert values(spark, texts, "STRING", delay_minutes) == [0, 0, 13, 158, 940, None, 60, None]
 
 
+def test_delay_minutes_of_other_text(spark):
+    texts = ["13 foo Min", "1:99 Hr", "5:30:10 Hr", "-5 Min", "On Timetable", "Min", " Min", "1 Hr", "13 Min\n", "", "١ Min", "1.5 Min", "9999999 Min"]
+    assert values(spark, texts, "STRING", delay_minutes) == [None] * len(texts)
+
+
 def test_rounding(spark):
     assert values(spark, [0.25], "DOUBLE", lambda c: report_round(c, 1)) == [0.2]
     assert values(spark, [0.25], "DOUBLE", lambda c: key_round(c, 1)) == [0.3]

@@ -265,9 +265,13 @@ def weather_risk_query(spark, sf_dir) -> DataFrame:
     return px.table(spark, sf_dir, "events").select("event_id", weather_risk(code).alias("weather_risk_score"))
 
 
-_NEAREST = """nearest AS (
-  SELECT w.vec_id, w.latitude, w.longitude, s.station_code, s.station_name FROM weather_points w LEFT JOIN stations s
-  ON round(w.latitude, 2) + 0.0 = round(s.latitude, 2) + 0.0 AND round(w.longitude, 2) + 0.0 = round(s.longitude, 2) + 0.0)"""
+_NEAREST = """cells AS (
+  SELECT *, round(latitude, 2) + 0.0 AS lat, round(longitude, 2) + 0.0 AS lon FROM stations),
+one AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY
+  (latitude - lat) * (latitude - lat) + (longitude - lon) * (longitude - lon), station_code) = 1),
+nearest AS (
+  SELECT w.vec_id, w.latitude, w.longitude, s.station_code, s.station_name FROM weather_points w LEFT JOIN one s
+  ON round(w.latitude, 2) + 0.0 = s.lat AND round(w.longitude, 2) + 0.0 = s.lon)"""
 
 
 def nearest(spark, sf_dir) -> DataFrame:
@@ -311,42 +315,42 @@ def daily_average(spark, sf_dir) -> DataFrame:
     return daily_weather(px.weather(spark, sf_dir))
 
 
+MEANS = """means AS (SELECT station_code, weather_date, CAST(sum(weather_code) AS DOUBLE) / count(weather_code) AS weather_code,
+  CAST(sum(precipitation_mm) AS DOUBLE) / count(precipitation_mm) AS precipitation_mm,
+  CAST(sum(weather_risk_score) AS DOUBLE) / count(weather_risk_score) AS weather_risk_score FROM weather GROUP BY ALL)"""
+
 BACKFILLED = """filled AS (
-  SELECT f.event_id, f.train_number, f.station, f.travel_date, f.delay_min,
-         coalesce(CAST(w.weather_code AS DOUBLE), d.avg_weather_code, 0) AS weather_code,
-         coalesce(CAST(w.precipitation_mm AS DOUBLE), d.avg_precipitation_mm, 0) AS precipitation_mm,
-         coalesce(CAST(w.weather_risk_score AS DOUBLE), d.avg_weather_risk_score, 0) AS weather_risk_score
-  FROM {facts} f LEFT JOIN weather w ON f.station = w.station_code AND f.travel_date = w.weather_date
+  SELECT f.*, coalesce(w.weather_code, d.avg_weather_code, 0) AS weather_code,
+         coalesce(w.precipitation_mm, d.avg_precipitation_mm, 0) AS precipitation_mm,
+         coalesce(w.weather_risk_score, d.avg_weather_risk_score, 0) AS weather_risk_score
+  FROM {facts} f LEFT JOIN means w ON f.station = w.station_code AND f.travel_date = w.weather_date
        LEFT JOIN daily d ON f.travel_date = d.weather_date)"""
 
+_WEATHER_CTES = (px.WEATHER, _DAILY, MEANS)
+
 
 @query(
     "weather_backfill",
-    px.with_clause(px.FACTS, px.WEATHER, _DAILY, BACKFILLED.format(facts="facts")) + "SELECT * FROM filled",
+    px.with_clause(px.FACTS, *_WEATHER_CTES, BACKFILLED.format(facts="facts")) + "SELECT * FROM filled",
 )
 def weather_backfill(spark, sf_dir) -> DataFrame:
+    """As many rows as facts: the weather of a station and date is averaged first."""
     return backfill_weather(px.facts(spark, sf_dir), px.weather(spark, sf_dir))
 
 
 @query(
     "weather_backfill_deduped",
-    px.with_clause(
-        px.FACTS,
-        px.WEATHER,
-        _DAILY,
-        """means AS (SELECT station_code, weather_date, CAST(sum(weather_code) AS DOUBLE) / count(*) AS weather_code,
-  CAST(sum(precipitation_mm) AS DOUBLE) / count(*) AS precipitation_mm,
-  CAST(sum(weather_risk_score) AS DOUBLE) / count(*) AS weather_risk_score FROM weather GROUP BY ALL)""",
-    )
-    + """SELECT f.event_id, f.train_number, f.station, f.travel_date, f.delay_min,
-       coalesce(w.weather_code, d.avg_weather_code, 0) AS weather_code,
-       coalesce(w.precipitation_mm, d.avg_precipitation_mm, 0) AS precipitation_mm,
-       coalesce(w.weather_risk_score, d.avg_weather_risk_score, 0) AS weather_risk_score
-FROM facts f LEFT JOIN means w ON f.station = w.station_code AND f.travel_date = w.weather_date
-     LEFT JOIN daily d ON f.travel_date = d.weather_date""",
+    px.with_clause(px.FACTS, ENRICHED, *_WEATHER_CTES, BACKFILLED.format(facts="enriched"))
+    + """SELECT event_id, train_number, station, travel_date, delay_min, day_type, rolling_72hr_avg_delay,
+       is_maintenance_likely, weather_code, precipitation_mm, weather_risk_score FROM filled""",
 )
 def weather_backfill_deduped(spark, sf_dir) -> DataFrame:
-    return backfill_weather(px.facts(spark, sf_dir), px.weather(spark, sf_dir), dedupe="mean")
+    """The whole fact table of the delay model: history, maintenance flag and weather."""
+    return full_facts(spark, sf_dir)
+
+
+def full_facts(spark, sf_dir) -> DataFrame:
+    return backfill_weather(enriched(spark, sf_dir), px.weather(spark, sf_dir), dedupe="mean")
 
 
 # Lookup features: averages of exact values, so both engines divide the same sums.

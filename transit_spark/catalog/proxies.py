@@ -37,24 +37,17 @@ FACTS = """facts AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 
 
-# --- weather: the worst error event per station and half day, so at most two rows per station and date ---
+# --- weather: every error event, so any number of rows per station and date ----------------------
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .filter("event_type = 'error'")
-        .groupBy("user_id", F.col("ts").cast("date").alias("weather_date"), (F.hour("ts") < 12).alias("morning"))
-        .agg(
-            F.max(F.get_json_object("props", "$.k").cast("int")).alias("weather_code"),
-            F.max(F.col("value").cast("decimal(18,2)")).alias("precipitation_mm"),
-        )
-        .select(
-            F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("station_code"),
-            "weather_date",
-            "weather_code",
-            "precipitation_mm",
-            weather_risk(F.col("weather_code")).alias("weather_risk_score"),
-        )
+    events = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    code = F.get_json_object("props", "$.k").cast("int")
+    return events.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("station_code"),
+        F.col("ts").cast("date").alias("weather_date"),
+        code.alias("weather_code"),
+        F.col("value").cast("decimal(18,2)").alias("precipitation_mm"),
+        weather_risk(code).alias("weather_risk_score"),
     )
 
 
@@ -63,11 +56,11 @@ RISK_SQL = """CASE WHEN {c} = 0 THEN 0 WHEN {c} IN (1, 2, 3) THEN 1 WHEN {c} IN
        WHEN {c} IN (95, 96, 99) THEN 4 ELSE 1 END"""
 
 WEATHER = f"""weather AS (
-  SELECT station_code, weather_date, weather_code, precipitation_mm, {RISK_SQL.format(c='weather_code')} AS weather_risk_score
+  SELECT *, {RISK_SQL.format(c='weather_code')} AS weather_risk_score
   FROM (SELECT 'U' || CAST(user_id AS VARCHAR) AS station_code, CAST(ts AS DATE) AS weather_date,
-               max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS weather_code,
-               max(CAST(value AS DECIMAL(18,2))) AS precipitation_mm
-        FROM events WHERE event_type = 'error' GROUP BY user_id, CAST(ts AS DATE), hour(ts) < 12))"""
+               CAST(json_extract_string(props, '$.k') AS INTEGER) AS weather_code,
+               CAST(value AS DECIMAL(18,2)) AS precipitation_mm
+        FROM events WHERE event_type = 'error'))"""
 
 
 # --- coordinates: even vectors are stations, odd ones weather points ----------------------------

@@ -28,9 +28,13 @@ def maintenance_flag(rolling: Column, threshold: float = MAINTENANCE_MINUTES) ->
     return F.when(rolling > threshold, 1).otherwise(0)
 
 
+#: The texts a delay may have.
+DELAY_TEXT = r"^(On Time( / 0 Min)?|\d{1,6} Min|\d{1,5}:[0-5]\d Hr)\z"
+
+
 def delay_minutes(text: Column) -> Column:
-    """``On Time``, ``n Min`` and ``hh:mm Hr`` as minutes; NULL for other text."""
-    clean = F.trim(text)
+    """``On Time``, ``On Time / 0 Min``, ``n Min`` and ``hh:mm Hr`` as minutes; NULL for every other text."""
+    clean = F.when(F.trim(text).rlike(DELAY_TEXT), F.trim(text))
     number = F.substring_index(clean, " ", 1)
     hours, rest = (F.substring_index(number, ":", n).try_cast("int") for n in (1, -1))
     return (

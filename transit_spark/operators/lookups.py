@@ -72,10 +72,13 @@ def stop_lookup(requests: DataFrame, scored: DataFrame, known: DataFrame | None
 
     ``scored`` holds ``(train_number, travel_date, station, predicted_delay_min)``.
     ``known`` lists the known trains, such as the lookup table; by default they
-    are those that ``scored`` holds.
+    are those that ``scored`` holds. Every request has one answer: a stop scored
+    more than once answers with its smallest prediction.
     """
+    stop = ["train_number", "travel_date", "station"]
     trains = (scored if known is None else known).select("train_number").distinct().withColumn("__known", F.lit(True))
-    matched = requests.join(scored, ["train_number", "travel_date", "station"], "left")
+    minutes = scored.groupBy(*stop).agg(F.min("predicted_delay_min").alias("predicted_delay_min"))
+    matched = requests.join(minutes, stop, "left")
     matched = join_counted(matched, trains, "train_number")
     train, station, minutes = F.col("train_number"), F.col("station"), F.col("predicted_delay_min")
     answer = (

@@ -33,16 +33,29 @@ def standardise_weather(raw: DataFrame, names: dict[str, str] | None = None) ->
     )
 
 
-def attach_stations(weather: DataFrame, stations: DataFrame, places: int = 2) -> DataFrame:
-    """Left join to the stations whose coordinates round to the same point.
+def station_cells(stations: DataFrame, places: int = 2) -> DataFrame:
+    """One station per rounded point: the one nearest to the point, the first code among equals."""
+    lat, lon = key_round(F.col("latitude"), places), key_round(F.col("longitude"), places)
+    north, east = F.col("latitude") - lat, F.col("longitude") - lon
+    nearest = F.min(F.struct((north * north + east * east).alias("away"), "station_code", "station_name"))
+    cells = stations.groupBy(lat.alias("__lat"), lon.alias("__lon")).agg(nearest.alias("s"))
+    return cells.select("__lat", "__lon", "s.station_code", "s.station_name")
 
-    Every match is kept; the join strategy is left to the optimizer, which knows
-    the file size of the station table.
+
+def attach_stations(weather: DataFrame, stations: DataFrame, places: int = 2, matches: str = "nearest") -> DataFrame:
+    """Left join to the station whose coordinates round to the same point.
+
+    Stations are first reduced to one per point, so the result is as long as the weather, however many stations and
+    weather rows share a point. ``matches="all"`` keeps every pair of a point.
     """
+    if matches not in ("nearest", "all"):
+        raise ValueError("matches must be 'nearest' or 'all'")
     keys = {
         "__lat": key_round(F.col("latitude"), places),
         "__lon": key_round(F.col("longitude"), places),
     }
+    if matches == "nearest":
+        return join_counted(weather.withColumns(keys), station_cells(stations, places), list(keys)).drop(*keys)
     points = stations.withColumns(keys).select("station_code", "station_name", *keys)
     return weather.withColumns(keys).join(points, list(keys), "left").drop(*keys)
 
@@ -68,13 +81,13 @@ def backfill_weather(
     weather: DataFrame,
     station: str = "station",
     date: str = "travel_date",
-    dedupe: str | None = None,
+    dedupe: str | None = "mean",
     matched_only: bool = False,
 ) -> DataFrame:
     """Weather of the station and date, else the average of the date, else 0.
 
-    Several weather rows for one station and date repeat the fact, unless
-    ``dedupe="mean"`` averages them first.
+    Several weather rows for one station and date are averaged first, so the result
+    is as long as the facts; with ``dedupe=None`` each of them repeats the fact.
     """
     if dedupe not in (None, "mean"):
         raise ValueError("dedupe must be None or 'mean'")
