@@ -80,7 +80,7 @@ def main(argv):
     from transit_spark.session import build_session
 
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8"})
+    spark = build_session("compare", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

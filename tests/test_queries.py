@@ -29,6 +29,15 @@ def test_query_equals_its_twin(spark, con, name):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+WITHOUT_TWIN = sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline")
+
+
+@pytest.mark.parametrize("name", WITHOUT_TWIN)
+def test_query_without_a_twin_runs(spark, name):
+    rows = entry.queries()[name](spark, SF).collect()
+    assert rows and rows[0].asDict()
+
+
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -326,12 +326,12 @@ BACKFILLED = """filled AS (
   FROM {facts} f LEFT JOIN means w ON f.station = w.station_code AND f.travel_date = w.weather_date
        LEFT JOIN daily d ON f.travel_date = d.weather_date)"""
 
-_WEATHER_CTES = (px.WEATHER, _DAILY, MEANS)
+WEATHER_CTES = (px.WEATHER, _DAILY, MEANS)
 
 
 @query(
     "weather_backfill",
-    px.with_clause(px.FACTS, *_WEATHER_CTES, BACKFILLED.format(facts="facts")) + "SELECT * FROM filled",
+    px.with_clause(px.FACTS, *WEATHER_CTES, BACKFILLED.format(facts="facts")) + "SELECT * FROM filled",
 )
 def weather_backfill(spark, sf_dir) -> DataFrame:
     """As many rows as facts: the weather of a station and date is averaged first."""
@@ -340,7 +340,7 @@ def weather_backfill(spark, sf_dir) -> DataFrame:
 
 @query(
     "weather_backfill_deduped",
-    px.with_clause(px.FACTS, ENRICHED, *_WEATHER_CTES, BACKFILLED.format(facts="enriched"))
+    px.with_clause(px.FACTS, ENRICHED, *WEATHER_CTES, BACKFILLED.format(facts="enriched"))
     + """SELECT event_id, train_number, station, travel_date, delay_min, day_type, rolling_72hr_avg_delay,
        is_maintenance_likely, weather_code, precipitation_mm, weather_risk_score FROM filled""",
 )

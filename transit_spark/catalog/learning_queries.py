@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from transit_spark.catalog import booking_queries as bq, delay_queries as dq, proxies as px
 from transit_spark.catalog.registry import Registry
-from transit_spark.models import candidates as cand
-from transit_spark.models.delays import delay_training_set, evaluate_delay_model, fit_delay_model
-from transit_spark.models.features import CATEGORICAL
+from transit_spark.models import candidates as cand, features
+from transit_spark.models.delays import delay_training_set, evaluate_delay_model, stored_delay_model
+from transit_spark.models.features import CATEGORICAL, NUMERIC
+from transit_spark.models.store import ModelStore
 from transit_spark.operators import encode, metrics
-from transit_spark.operators.routes import global_stats, route_stats
-from transit_spark.operators.weather import backfill_weather
+from transit_spark.operators.joins import with_global
+from transit_spark.operators.lookups import LOOKUP_MEANS, station_lookup
+from transit_spark.operators.routes import global_stats, out_of_fold_stats, route_stats
 from transit_spark.plans.bookings import request_inputs, score_bookings, training_set
-from transit_spark.plans.delays import score_delays
+from transit_spark.plans.delays import FEATURES, result_documents, score_delays, score_request_table
 from transit_spark.session import stage
 
 REGISTRY = Registry()
@@ -181,34 +183,199 @@ def best_candidate(spark, sf_dir) -> DataFrame:
     return metrics.best_candidate(aucs).select("candidate", F.round("auc", 9).alias("auc"))
 
 
-# --- Spark ML: rows only, since results depend on how rows are partitioned -----------------------
-# The registered runs use small grids; the full grids are the defaults of the functions.
+# --- features and folds of the booking models ---------------------------------------------------
+
+_NUMBERS = ("Distance", "Fare", "WaitlistRank")
+
+
+def _positions_sql() -> str:
+    """Codes of every column by falling frequency, moved behind those of the columns before."""
+    codes = [
+        f"""c{k} AS (SELECT "{c}" AS v, row_number() OVER (ORDER BY count(*) DESC, "{c}") - 1 AS code
+  FROM silver WHERE "{c}" IS NOT NULL GROUP BY "{c}")"""
+        for k, c in enumerate(CATEGORICAL)
+    ]
+    begins = ["0", *[f"(SELECT count(*) FROM c{k})" for k in range(len(CATEGORICAL) - 1)]]
+    spots = [f"c{k}.code + {' + '.join(begins[: k + 1])}" for k in range(len(CATEGORICAL))]
+    joins = "\n".join(f"""LEFT JOIN c{k} ON c{k}.v = s."{c}" """ for k, c in enumerate(CATEGORICAL))
+    return (
+        ",\n".join(["", *codes])
+        + f""",
+hot AS (SELECT s."PNR", {', '.join(f's."{c}"' for c in _NUMBERS)}, concat_ws(',', {', '.join(spots)}) AS positions
+  FROM silver s {joins})
+"""
+    )
+
+
+def booking_categories(rows: DataFrame) -> list[features.Categories]:
+    return [features.fit_categories(rows, c) for c in CATEGORICAL]
 
-TREES = {"numTrees": 10, "maxDepth": 6}
 
+@query("one_hot", px.with_clause(px.BOOKINGS, px.SILVER) + _positions_sql() + 'SELECT "PNR", positions FROM hot')
+def one_hot(spark, sf_dir) -> DataFrame:
+    """Positions of the ones in every booking's vector, as text."""
+    rows = stage(bq.silver(spark, sf_dir).select("PNR", *CATEGORICAL))
+    found = features.one_hot_positions(rows, booking_categories(rows))
+    return found.select("PNR", F.concat_ws(",", "positions").alias("positions"))
 
-def delay_rows(spark, sf_dir) -> DataFrame:
-    filled = backfill_weather(px.facts(spark, sf_dir), px.weather(spark, sf_dir), dedupe="mean")
-    return dq.enrich_facts(filled, threshold=dq.THRESHOLD)
+
+_SCALED_SQL = ", ".join(
+    f"""round("{c}_imp" / (SELECT stddev_samp("{c}_imp") FROM imputed), 6) AS "{c}_scaled\"""" for c in _NUMBERS
+)
+_IMPUTED_SQL = ", ".join(
+    f"""coalesce(CAST("{c}" AS DOUBLE), (SELECT quantile_cont(CAST("{c}" AS DOUBLE), 0.5) FROM hot)) AS "{c}_imp\""""
+    for c in _NUMBERS
+)
+
+
+@query(
+    "assembled_features",
+    px.with_clause(px.BOOKINGS, px.SILVER)
+    + _positions_sql()
+    + f', imputed AS (SELECT "PNR", positions, {_IMPUTED_SQL} FROM hot)\nSELECT "PNR", positions, {_SCALED_SQL} FROM imputed',
+)
+def assembled_features(spark, sf_dir) -> DataFrame:
+    """The assembled vector of every booking: positions of the ones, and three numbers imputed and scaled."""
+    rows = stage(bq.silver(spark, sf_dir).select("PNR", *CATEGORICAL, *_NUMBERS))
+    found = features.assembled(rows, booking_categories(rows), _NUMBERS)
+    scaled = [F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in _NUMBERS]
+    return found.select("PNR", F.concat_ws(",", "positions").alias("positions"), *scaled)
+
+
+_FOLD_SQL = """('0x' || substr(md5("PNR"), 1, 8))::BIGINT % 100"""
+_FOLDED = f""", folded AS (SELECT *, {_FOLD_SQL} AS bucket, CAST({_FOLD_SQL} % 3 AS INTEGER) AS fold FROM silver),
+train AS (SELECT * FROM folded WHERE bucket < 80)
+"""
+_ROUTE = '"FromStation", "ToStation", "Class", "TrainType"'
+
+
+@query(
+    "out_of_fold_stats",
+    px.with_clause(px.BOOKINGS, px.SILVER)
+    + _FOLDED
+    + f"""SELECT {_ROUTE}, f.fold, avg(label) AS route_confirmation_rate,
+  CAST(sum("Fare") AS DOUBLE) / count("Fare") AS avg_fare_on_route,
+  CAST(sum("Distance") AS DOUBLE) / count("Distance") AS avg_distance, count("PNR") AS bookings_count
+FROM (SELECT DISTINCT {_ROUTE}, fold FROM train) f LEFT JOIN (SELECT {_ROUTE}, fold AS other, "PNR", label, "Fare", "Distance" FROM train) t
+  USING ({_ROUTE}) WHERE t.other <> f.fold GROUP BY ALL
+UNION ALL
+SELECT {_ROUTE}, min(fold), NULL, NULL, NULL, 0 FROM train GROUP BY {_ROUTE} HAVING count(DISTINCT fold) = 1""",
+)
+def out_of_fold_stats_query(spark, sf_dir) -> DataFrame:
+    """Route statistics of the training rows per fold, without the bookings of that fold."""
+    bucket = encode.hash_bucket("PNR")
+    train = bq.silver(spark, sf_dir).filter(bucket < 80).withColumn(encode.FOLD, (bucket % 3).cast("int"))
+    return out_of_fold_stats(train, encode.FOLD)
+
+
+# --- Spark ML: rows only, since results depend on how rows are partitioned -----------------------
+# Every run has the stated sizes and grids. Models are fitted on a bounded number of labelled rows; statistics, codes
+# of stations, scores and metrics cover all rows.
+
+#: Most labelled rows that a registered run fits a model on.
+LABELLED_ROWS = 4_000
 
 
 def delay_model(spark, sf_dir):
-    rows, codes = delay_training_set(delay_rows(spark, sf_dir), keep=["event_id"])
+    """The forest of the surveyed size, its station codes, the training and the held-out rows."""
+    rows, codes = delay_training_set(dq.full_facts(spark, sf_dir), keep=["event_id"])
     train, test = encode.hash_split(stage(rows), "event_id")
-    return fit_delay_model(train, **TREES), test
+    train = stage(encode.bounded_rows(train, LABELLED_ROWS))
+    model, codes = stored_delay_model(ModelStore(spark), train, codes, "event_id")
+    return model, codes, train, test
 
 
 @query("ml_delay_scores")
 def ml_delay_scores(spark, sf_dir) -> DataFrame:
-    model, test = delay_model(spark, sf_dir)
+    model, _, _, test = delay_model(spark, sf_dir)
     return score_delays(test, model).select(
         "event_id", "train_number", "station", "travel_date", "delay_min", "predicted_delay_min", "delay_category"
     )
 
 
+# Lookup with the three weather means, in hundredths, so that both engines add whole numbers.
+_HUNDREDTHS = "CAST(floor({c} * 100 + 0.5) / 100 AS DECIMAL(18,2))"
+_MODEL_LOOKUP = "model_lookup AS (\n  SELECT train_number, station, " + ", ".join(
+    f"CAST(sum({_HUNDREDTHS.format(c=c)}) AS DOUBLE) / count({c}) AS {c}" for c in LOOKUP_MEANS
+) + ", max(is_maintenance_likely) AS is_maintenance_likely\n  FROM filled GROUP BY train_number, station)"
+_MODEL_CODES = """model_codes AS (
+  SELECT station, CAST(row_number() OVER (ORDER BY station) - 1 AS INTEGER) AS station_enc
+  FROM (SELECT DISTINCT station FROM facts WHERE delay_min IS NOT NULL))"""
+_MODEL_SQL = px.with_clause(
+    px.FACTS, dq.ENRICHED, *dq.WEATHER_CTES, dq.BACKFILLED.format(facts="enriched"), _MODEL_LOOKUP, _MODEL_CODES, px.DELAY_REQUESTS
+)
+
+
+def model_lookup(spark, sf_dir) -> DataFrame:
+    """Averages per train and station over the whole fact table, weather included."""
+    facts = dq.full_facts(spark, sf_dir)
+    hundredths = {c: (F.floor(F.col(c) * 100 + 0.5) / 100).cast("decimal(18,2)") for c in LOOKUP_MEANS}
+    return stage(station_lookup(facts.withColumns(hundredths)))
+
+
+@query(
+    "station_lookup_weather",
+    _MODEL_SQL + f"SELECT train_number, station, {', '.join(LOOKUP_MEANS)}, is_maintenance_likely FROM model_lookup",
+)
+def station_lookup_weather(spark, sf_dir) -> DataFrame:
+    return model_lookup(spark, sf_dir)
+
+
+def model_scores(spark, sf_dir):
+    """Requests scored by the fitted forest, error rows for the others, and the rows the forest was fitted on."""
+    model, codes, train, _ = delay_model(spark, sf_dir)
+    scored, errors = score_request_table(px.delay_requests(spark, sf_dir), model_lookup(spark, sf_dir), codes, model)
+    return scored, errors, train
+
+
+@query(
+    "score_requests_model",
+    _MODEL_SQL
+    + f"""SELECT r.train_number, r.travel_date, l.station, c.station_enc, CAST(month(r.travel_date) AS INTEGER) AS month,
+  CAST(day(r.travel_date) AS INTEGER) AS day, CAST(isodow(r.travel_date) - 1 AS INTEGER) AS day_of_week,
+  CAST(weekofyear(r.travel_date) AS INTEGER) AS week, CASE WHEN dayofweek(r.travel_date) IN (0, 6) THEN 1 ELSE 0 END AS day_type,
+  {', '.join(f'coalesce(l.{c}, 0) AS {c}' for c in LOOKUP_MEANS)}, l.is_maintenance_likely,
+  true AS within_labels, true AS category_fits, NULL::VARCHAR AS error
+FROM delay_requests r JOIN model_lookup l USING (train_number) JOIN model_codes c ON c.station = l.station
+UNION ALL
+SELECT train_number, travel_date, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  'Train ' || train_number || ' not found. Please check the train number and try again.'
+FROM delay_requests WHERE train_number NOT IN (SELECT train_number FROM model_lookup)""",
+)
+def score_requests_model(spark, sf_dir) -> DataFrame:
+    """The feature grid of every request and stop, scored by the fitted forest, and the error rows.
+
+    A forest averages labels, so a prediction lies within them; its category is that of the rounded prediction.
+    """
+    scored, errors, train = model_scores(spark, sf_dir)
+    ends = train.agg(F.min("delay_min").alias("least"), F.max("delay_min").alias("most"))
+    minutes, name = F.col("predicted_delay_min"), F.col("delay_category")
+    fits = (
+        ((minutes <= 15) & (name == "On Time"))
+        | ((minutes > 15) & (minutes <= 60) & (name == "Slight Delay"))
+        | ((minutes > 60) & (name == "Significant Delay"))
+    )
+    rows = with_global(scored, ends).select(
+        "train_number",
+        "travel_date",
+        "station",
+        *[f for f in FEATURES if f != "train_number"],
+        F.col("prediction").between(F.col("least") - 1e-6, F.col("most") + 1e-6).alias("within_labels"),
+        fits.alias("category_fits"),
+    )
+    return rows.unionByName(errors, allowMissingColumns=True)
+
+
+@query("ml_request_documents")
+def ml_request_documents(spark, sf_dir) -> DataFrame:
+    """One JSON document per request: the stops as the forest scores them, or the error."""
+    scored, errors, _ = model_scores(spark, sf_dir)
+    return result_documents(scored, errors)
+
+
 @query("ml_delay_metrics")
 def ml_delay_metrics(spark, sf_dir) -> DataFrame:
-    model, test = delay_model(spark, sf_dir)
+    model, _, _, test = delay_model(spark, sf_dir)
     return evaluate_delay_model(model, test)
 
 
@@ -221,48 +388,74 @@ def booking_rows(spark, sf_dir) -> DataFrame:
 
 
 def _split(rows: DataFrame):
-    train, test = training_set(rows, fit_on="train")
-    return stage(train), stage(test)
+    """Training and test rows whose route statistics leave out the labels of their own fold."""
+    train, test = training_set(rows, fit_on="out_of_fold")
+    return stage(encode.bounded_rows(train, LABELLED_ROWS)), stage(test)
+
+
+_MODEL_COLUMNS = ("PNR", *CATEGORICAL, *NUMERIC, "label")
+
+
+def confirmation_run(spark, rows: DataFrame):
+    """The run of the three candidates with their full grids, fitted once per table and stored."""
+    train, test = _split(rows)
+    store = ModelStore(spark)
+
+    def fit(missing):
+        return cand.fit_candidates(train, test, missing, parallelism=8)
+
+    return store, cand.stored_run(store, train, test, cand.confirmation_candidates(), fit, _MODEL_COLUMNS), test
 
 
 @query("ml_candidate_metrics")
 def ml_candidate_metrics(spark, sf_dir) -> DataFrame:
-    train, test = _split(booking_rows(spark, sf_dir))
-    fitted = cand.fit_candidates(train, test, cand.confirmation_candidates(full=False), folds=2)
-    return cand.metric_log(spark, "trial", fitted)
+    """Metrics and chosen parameters of the three candidates, as stored in the log."""
+    store, run, _ = confirmation_run(spark, booking_rows(spark, sf_dir))
+    return store.log().filter((F.col("run") == run) & (F.col("kind") != "model"))
+
+
+@query("ml_best_candidate")
+def ml_best_candidate(spark, sf_dir) -> DataFrame:
+    """The fitted candidates by logged area under the ROC curve, the best first."""
+    store, run, _ = confirmation_run(spark, booking_rows(spark, sf_dir))
+    return store.ranking(run)
 
 
 @query("ml_inference_results")
 def ml_inference_results(spark, sf_dir) -> DataFrame:
-    train, test = _split(booking_rows(spark, sf_dir))
-    logistic = cand.confirmation_candidates(full=False)[2:]
-    fitted = cand.best_fitted(cand.fit_candidates(train, test, logistic, folds=2))
-    return cand.infer_confirmations(fitted, test)
+    """Test rows scored by the best candidate of the log."""
+    store, run, test = confirmation_run(spark, booking_rows(spark, sf_dir))
+    return cand.infer_confirmations(store.best(run)[1], test)
 
 
 @query("confirmation_scores")
 def confirmation_scores(spark, sf_dir) -> DataFrame:
+    """Requests scored by the best candidate of the log."""
     rows = booking_rows(spark, sf_dir)
-    train, test = _split(rows)
-    logistic = cand.confirmation_candidates(full=False)[2:]
-    fitted = cand.best_fitted(cand.fit_candidates(train, test, logistic, folds=2))
+    store, run, _ = confirmation_run(spark, rows)
     requests = px.booking_requests(spark, sf_dir)
     inputs = request_inputs(requests, route_stats(rows), global_stats(rows))
-    return score_bookings(inputs, fitted.pipeline, requests.columns)
+    return score_bookings(inputs, store.best(run)[1], requests.columns)
 
 
 def fare_model(spark, sf_dir):
     train, test = _split(booking_rows(spark, sf_dir))
-    return cand.fit_fare(train, test, cand.fare_candidate(full=False), folds=2), test
+    store, forest = ModelStore(spark), cand.fare_candidate()
+
+    def fit(missing):
+        return [cand.fit_fare(train, test, missing[0], parallelism=8)]
+
+    run = cand.stored_run(store, train, test, [forest], fit, _MODEL_COLUMNS)
+    return store.load(run, forest.name), test
 
 
 @query("ml_fare_scores")
 def ml_fare_scores(spark, sf_dir) -> DataFrame:
-    fitted, test = fare_model(spark, sf_dir)
-    return cand.infer_fares(fitted, test)
+    scoring, test = fare_model(spark, sf_dir)
+    return cand.infer_fares(scoring, test)
 
 
 @query("ml_feature_importance")
 def ml_feature_importance(spark, sf_dir) -> DataFrame:
-    fitted, test = fare_model(spark, sf_dir)
-    return cand.feature_importance(fitted, test)
+    scoring, _ = fare_model(spark, sf_dir)
+    return cand.feature_importance(scoring, spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
@@ -17,21 +17,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from transit_spark.models.features import (
-    CATEGORICAL,
-    NUMERIC,
-    as_double,
-    check_vocabulary,
-    feature_names,
-    feature_pipeline,
-    prepare,
-)
-from transit_spark.operators.encode import hash_bucket
+from transit_spark.models.features import CATEGORICAL, NUMERIC, Features, as_double, feature_names, fit_features, prepare
+from transit_spark.models.store import METRIC_LOG, ModelStore, ScoringModel, run_name
+from transit_spark.operators.encode import FOLD, hash_bucket
 
 SEED = 42
-FOLD = "fold"
 FARE_NUMERIC = tuple(c for c in NUMERIC if c != "Fare")
-METRIC_LOG = "run STRING, candidate STRING, kind STRING, name STRING, value STRING"
 
 
 @dataclass
@@ -46,14 +37,19 @@ class Fitted:
     """A fitted candidate: the features it needs, the best model, and its metrics."""
 
     name: str
-    features: PipelineModel
+    features: Features
     model: Model
     metrics: dict[str, float]
 
     @property
-    def pipeline(self) -> PipelineModel:
-        """Features and model as one pipeline, for scoring and saving."""
-        return PipelineModel(stages=[*self.features.stages, self.model])
+    def pipeline(self) -> ScoringModel:
+        """Features and model put together, for scoring and saving."""
+        return ScoringModel(self.features, PipelineModel([self.model]))
+
+    def log_rows(self) -> list[tuple[str, str, str]]:
+        """``(kind, name, value)`` of every metric and chosen parameter."""
+        chosen = [("param", p.name, str(v)) for p, v in self.model.extractParamMap().items()]
+        return [("metric", k, repr(v)) for k, v in self.metrics.items()] + chosen
 
 
 def _grid(**values):
@@ -100,7 +96,8 @@ def fare_candidate(full: bool = True) -> Candidate:
 
 
 def _with_folds(df: DataFrame, key: str, folds: int) -> DataFrame:
-    return df.withColumn(FOLD, (hash_bucket(key) % folds).cast("int"))
+    """The folds of the training set where it has them, since its route statistics belong to them."""
+    return df if FOLD in df.columns else df.withColumn(FOLD, (hash_bucket(key) % folds).cast("int"))
 
 
 def _cross_validate(candidate: Candidate, train: DataFrame, evaluator, folds: int, parallelism: int) -> Model:
@@ -125,9 +122,10 @@ def fit_candidates(
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = NUMERIC,
     folds: int = 3,
-    parallelism: int = 2,
+    parallelism: int = 4,
     center: bool = False,
     key: str = "PNR",
+    widths: Mapping[str, int] | None = None,
 ) -> list[Fitted]:
     """Fit every candidate on the same prepared features and measure it on the test rows.
 
@@ -136,14 +134,14 @@ def fit_candidates(
 
     The feature stages are fitted once on all training rows and not per fold, so
     a fold's indexes, medians and scales have seen its held-out rows. The labels
-    have not been used for them.
+    have not been used for them; those in route statistics are left out where the
+    training set was made with ``fit_on="out_of_fold"``.
     """
     candidates = candidates or confirmation_candidates()
     train, test = as_double(train, numeric), as_double(test, numeric)
-    check_vocabulary(train, categorical)
-    features = feature_pipeline(categorical, numeric, center=center).fit(train)
-    prepared = prepare(features, _with_folds(train, key, folds), ["label", FOLD], numeric)
-    held_out = prepare(features, test, ["label"], numeric)
+    features = fit_features(train, categorical, numeric, center=center, widths=widths)
+    prepared = prepare(features, _with_folds(train, key, folds), ["label", FOLD])
+    held_out = prepare(features, test, ["label"])
     auc = BinaryClassificationEvaluator(metricName="areaUnderROC")
     fitted = []
     for candidate in candidates:
@@ -166,17 +164,16 @@ def fit_fare(
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = FARE_NUMERIC,
     folds: int = 3,
-    parallelism: int = 2,
+    parallelism: int = 4,
     center: bool = False,
     key: str = "PNR",
 ) -> Fitted:
     """The fare forest by RMSE, with its test metrics."""
     candidate = candidate or fare_candidate()
     train, test = as_double(train, [*numeric, "Fare"]), as_double(test, [*numeric, "Fare"])
-    check_vocabulary(train, categorical)
-    features = feature_pipeline(categorical, numeric, center=center).fit(train)
-    prepared = prepare(features, _with_folds(train, key, folds), ["Fare", FOLD], numeric)
-    held_out = prepare(features, test, ["Fare"], numeric)
+    features = fit_features(train, categorical, numeric, center=center)
+    prepared = prepare(features, _with_folds(train, key, folds), ["Fare", FOLD])
+    held_out = prepare(features, test, ["Fare"])
     rmse = RegressionEvaluator(labelCol="Fare", metricName="rmse")
     model = _cross_validate(candidate, prepared, rmse, folds, parallelism)
     scored = model.transform(held_out).select("Fare", "prediction").cache()
@@ -187,35 +184,60 @@ def fit_fare(
 
 def metric_log(spark: SparkSession, run: str, fitted: Sequence[Fitted]) -> DataFrame:
     """Metrics and chosen parameters as rows, ready to append to a table."""
-    rows = []
-    for f in fitted:
-        rows += [(run, f.name, "metric", k, repr(v)) for k, v in f.metrics.items()]
-        rows += [(run, f.name, "param", p.name, str(v)) for p, v in f.model.extractParamMap().items()]
-    return spark.createDataFrame(rows, METRIC_LOG)
+    return spark.createDataFrame([(run, f.name, *row) for f in fitted for row in f.log_rows()], METRIC_LOG)
+
+
+def stored_run(
+    store: ModelStore,
+    train: DataFrame,
+    test: DataFrame,
+    candidates: Sequence[Candidate],
+    fit: Callable[[Sequence[Candidate]], Sequence[Fitted]],
+    columns: Sequence[str],
+) -> str:
+    """The run of these candidates on these rows; fits and stores those that the log does not list yet.
+
+    Its name follows from the rows and the candidates' settings, so a rerun, also of another session on the same
+    store, finds its models and adds nothing.
+    """
+    settings = [(c.name, type(c.estimator).__name__, _texts(c.estimator.extractParamMap()), [_texts(g) for g in c.grid]) for c in candidates]
+    run = run_name(train, columns, (settings, run_name(test, columns)))
+    there = set(store.candidates(run))
+    missing = [c for c in candidates if c.name not in there]
+    for f in fit(missing) if missing else ():
+        store.keep(run, f.name, f.pipeline, f.log_rows())
+    return run
+
+
+def _texts(params) -> list[tuple[str, str]]:
+    return sorted((p.name, str(v)) for p, v in params.items())
 
 
 def best_fitted(fitted: Sequence[Fitted], metric: str = "auc_roc") -> Fitted:
     return max(fitted, key=lambda f: f.metrics[metric])
 
 
-def feature_importance(fitted: Fitted, sample: DataFrame) -> DataFrame:
+def feature_importance(scoring: ScoringModel | Fitted, spark: SparkSession | None = None) -> DataFrame:
     """``(feature, importance)``, the largest first; one row per entry of the feature vector."""
-    numbers = fitted.model.featureImportances.toArray().tolist()
-    names = feature_names(fitted.features, sample)
-    rows = sample.sparkSession.createDataFrame(list(zip(names, numbers)), "feature STRING, importance DOUBLE")
-    return rows.orderBy(F.col("importance").desc(), "feature")
+    spark = spark or SparkSession.active()
+    features = scoring.features
+    model = scoring.model.stages[-1] if isinstance(scoring.model, PipelineModel) else scoring.model
+    numbers = enumerate(model.featureImportances.toArray().tolist())
+    rows = spark.createDataFrame(list(numbers), "position INT, importance DOUBLE")
+    named = rows.join(feature_names(features.categories, features.numeric, spark), "position")
+    return named.select("feature", "importance").orderBy(F.col("importance").desc(), "feature")
 
 
-def infer_confirmations(fitted: Fitted, bookings: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFrame:
+def infer_confirmations(scoring: ScoringModel, bookings: DataFrame) -> DataFrame:
     """Batch inference: truth, prediction and the two probabilities per booking."""
-    scored = fitted.pipeline.transform(as_double(bookings, numeric))
+    scored = scoring.transform(bookings)
     return scored.select(
         "PNR", "FinalStatus", "label", "prediction", vector_to_array("probability").alias("probability")
     )
 
 
-def infer_fares(fitted: Fitted, bookings: DataFrame, numeric: Sequence[str] = FARE_NUMERIC) -> DataFrame:
-    scored = fitted.pipeline.transform(as_double(bookings, [*numeric, "Fare"]))
+def infer_fares(scoring: ScoringModel, bookings: DataFrame) -> DataFrame:
+    scored = scoring.transform(as_double(bookings, ["Fare"]))
     return scored.select("PNR", "Fare", "prediction").withColumnRenamed("prediction", "predicted_fare")
 
 

@@ -64,6 +64,10 @@ def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "_std") ->
     return both.select(*df.columns, *[scaled(c).alias(f"{c}{suffix}") for c in columns])
 
 
+#: Column that names the fold of a training row.
+FOLD = "fold"
+
+
 def hash_bucket(*keys: str) -> Column:
     """0 to 99 from the md5 of the key text: the same on every run and every cluster."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
@@ -74,3 +78,9 @@ def hash_split(df: DataFrame, *keys: str, train_percent: int = 80) -> tuple[Data
     """Training and test rows, decided by the key alone."""
     train = hash_bucket(*keys) < train_percent
     return df.filter(train), df.filter(~train)
+
+
+def bounded_rows(df: DataFrame, rows: int) -> DataFrame:
+    """At most so many rows, chosen by the hash of their content: the same ones on every run and every cluster."""
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.orderBy(order, *[F.col(f"`{c}`") for c in df.columns]).limit(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transit_spark.fixed_values import FARE_PER_DISTANCE
 from transit_spark.functions.numbers import exact_mean
@@ -32,6 +32,48 @@ def route_stats(
     return bookings.groupBy(*keys).agg(*measures)
 
 
+def out_of_fold_stats(
+    bookings: DataFrame,
+    fold: str,
+    keys: Sequence[str] = ROUTE_KEYS,
+    label: str = "label",
+    distance: str = "Distance",
+    fare: str | None = "Fare",
+    booking_id: str = "PNR",
+) -> DataFrame:
+    """The same measures per route and fold, from the bookings of the other folds.
+
+    Bookings are summed once per route and fold, before and after one shuffle by route; each fold's own sums are then
+    taken off the route's. A route met in one fold only has NULLs and a count of 0 there. Rows without a fold count
+    for every fold.
+    """
+    values = {"rate": label, "fare": fare, "distance": distance}
+    sums = {f"__{n}": F.sum(F.col(c).cast("decimal(28,4)")) for n, c in values.items() if c}
+    counts = {f"__{n}_n": F.count(c) for n, c in {**values, "all": booking_id}.items() if c}
+    totals = bookings.groupBy(*keys, fold).agg(*[c.alias(n) for n, c in {**sums, **counts}.items()])
+    route = Window.partitionBy(*keys)
+
+    def others(n: str) -> Column:
+        return F.sum(n).over(route) - F.coalesce(F.col(n), F.lit(0))
+
+    def mean(n: str) -> Column:
+        total = F.coalesce(F.sum(f"__{n}").over(route), F.lit(0)) - F.coalesce(F.col(f"__{n}"), F.lit(0))
+        return total.cast("double") / F.nullif(others(f"__{n}_n"), F.lit(0))
+
+    measures = [mean("rate").alias("route_confirmation_rate")]
+    if fare:
+        measures.append(mean("fare").alias("avg_fare_on_route"))
+    measures += [mean("distance").alias("avg_distance"), others("__all_n").alias("bookings_count")]
+    return totals.select(*keys, fold, *measures).filter(F.col(fold).isNotNull())
+
+
+def enrich_out_of_fold(
+    bookings: DataFrame, fold: str, keys: Sequence[str] = ROUTE_KEYS, **columns
+) -> DataFrame:
+    """Route statistics on every booking that its own fold had no part in."""
+    return join_counted(bookings, out_of_fold_stats(bookings, fold, keys, **columns), [*keys, fold])
+
+
 def enrich_routes(
     bookings: DataFrame, stats: DataFrame | None = None, keys: Sequence[str] = ROUTE_KEYS, **columns
 ) -> DataFrame:

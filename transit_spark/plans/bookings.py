@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from transit_spark.fixed_values import BOOKING_REQUEST_DEFAULTS
 from transit_spark.functions import bookings as fb
 from transit_spark.functions.numbers import report_round
-from transit_spark.operators.encode import hash_split
+from transit_spark.operators.encode import FOLD, hash_bucket, hash_split
 from transit_spark.operators.reshape import underscore_names
-from transit_spark.operators.routes import ROUTE_KEYS, enrich_routes, lookup_route_stats, route_stats
+from transit_spark.operators.routes import ROUTE_KEYS, enrich_out_of_fold, enrich_routes, lookup_route_stats, route_stats
 from transit_spark.schemas import BOOKING_REQUESTS
 from transit_spark.sinks.tables import publish_path, publish_table, register_external
 
@@ -117,19 +117,25 @@ def training_set(
     keys: Sequence[str] = ROUTE_KEYS,
     split_key: Sequence[str] = ("PNR",),
     fit_on: str = "all",
+    folds: int = 3,
     **columns,
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows with route statistics.
 
     With ``fit_on="all"`` the statistics cover every row, test labels included;
-    ``"train"`` uses the training rows only.
+    ``"train"`` uses the training rows only; with ``"out_of_fold"`` a training row
+    has the statistics of the training rows in other folds and a column ``fold``,
+    so that no row, held out or not, meets its own label.
     """
-    if fit_on not in ("all", "train"):
-        raise ValueError("fit_on must be 'all' or 'train'")
+    if fit_on not in ("all", "train", "out_of_fold"):
+        raise ValueError("fit_on must be 'all', 'train' or 'out_of_fold'")
     if fit_on == "all":
         return hash_split(enrich_routes(silver_bookings, None, keys, **columns), *split_key)
     train, test = hash_split(silver_bookings, *split_key)
     stats = route_stats(train, keys, **columns)
+    if fit_on == "out_of_fold":
+        train = train.withColumn(FOLD, (hash_bucket(*split_key) % folds).cast("int"))
+        return enrich_out_of_fold(train, FOLD, keys, **columns), enrich_routes(test, stats, keys)
     return enrich_routes(train, stats, keys), enrich_routes(test, stats, keys)
 
 

@@ -14,7 +14,7 @@ from transit_spark.functions.delays import delay_category
 from transit_spark.functions.numbers import report_round
 from transit_spark.operators.history import add_maintenance_flag, add_rolling_delay
 from transit_spark.operators.joins import counted, join_counted
-from transit_spark.operators.lookups import lookup_stops
+from transit_spark.operators.lookups import lookup_stops, split_requests
 from transit_spark.operators.weather import backfill_weather
 from transit_spark.sinks.snapshots import publish_snapshot
 from transit_spark.sources.delay_documents import delay_facts
@@ -89,6 +89,25 @@ def score_delays(features: DataFrame, model=None) -> DataFrame:
     )
 
 
+def score_request_table(
+    requests: DataFrame,
+    lookup: DataFrame,
+    station_codes: DataFrame,
+    model,
+    holidays: Sequence[dt.date] = HOLIDAYS,
+) -> tuple[DataFrame, DataFrame]:
+    """Scored stops, and one error row for every request that cannot be scored.
+
+    Each distinct ``(train_number, travel_date)`` is answered once. The stops of its train come from ``lookup`` with
+    their averages, the codes from the table that the model was trained with. A train that the lookup does not have,
+    or with a station that has no code, gives an error row instead of stops.
+    """
+    asked = requests.select("train_number", "travel_date").distinct()
+    known, unknown = split_requests(asked, lookup)
+    encoded, uncoded = split_encoded(request_features(known, lookup, station_codes, holidays))
+    return score_delays(encoded, model), unknown.unionByName(uncoded)
+
+
 def result_documents(scored: DataFrame, errors: DataFrame) -> DataFrame:
     """One JSON document per train and date: its stops by name, or the error.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -28,6 +32,30 @@ def append_path(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def read_appended(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
+    """A folder written by ``append_new``: one row per key, none before the first append.
+
+    Two writers that append the same key at the same time may both write it; readers see the smallest of such rows.
+    """
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__rest")).select(*keys, "__rest.*").select(*rows.columns)
+
+
+def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Add the rows whose key the folder does not have yet, so that a rerun adds nothing."""
+    there = read_appended(df.sparkSession, path, df.schema, keys).select(*keys)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(there[k]) for k in keys])
+    append_path(df.dropDuplicates(list(keys)).join(there, same, "left_anti"), path)
+
+
 def register_external(spark: SparkSession, name: str, path: str) -> None:
     """Name an existing parquet folder in the catalog; an existing table of that name stays."""
     quoted = ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
