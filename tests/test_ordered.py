@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from transit_spark.operators.blocks import divider, keep_blocks, run_blocks
 from transit_spark.operators.encode import frequency_index, hash_split, label_encode, median_impute, standardise
-from transit_spark.operators.ordered import exact_percentiles, running_sum, value_counts_long
+from transit_spark.operators.ordered import running_sum
+from transit_spark.operators.percentiles import percentiles
 
 
 def test_running_sum_with_a_hot_group(spark):
@@ -42,7 +43,7 @@ def test_percentiles_match_statistics(spark):
     xs = [rng.randint(0, 40) for _ in range(501)]
     ys = [rng.random() for _ in range(500)] + [None]
     df = spark.createDataFrame(list(zip(xs, ys)), "x INT, y DOUBLE")
-    got = exact_percentiles(value_counts_long(df, ["x", "y"]), {"q1": 0.25, "q2": 0.5, "q3": 0.75, "top": 1.0})
+    got = percentiles(df, ["x", "y"], {"q1": 0.25, "q2": 0.5, "q3": 0.75, "top": 1.0})
     got = {r["column"]: r for r in got.collect()}
     for name, data in (("x", xs), ("y", ys[:-1])):
         want = statistics.quantiles(data, n=4, method="inclusive")
@@ -50,6 +51,43 @@ def test_percentiles_match_statistics(spark):
         assert got[name]["top"] == max(data)
 
 
+def test_percentiles_of_any_doubles(spark):
+    """Values of all sizes and signs, equal values, infinities, NaN; against the engine's own percentile."""
+    rng = random.Random(4)
+    columns = {
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(400)],
+        "near": [1 + k * 2.0**-52 for k in range(400)],
+        "hot": [7.0] * 390 + [float(k) for k in range(10)],
+        "ends": [float("inf")] * 150 + [float("-inf")] * 150 + [0.0, -0.0] * 50,
+        "tiny": [5e-324 * rng.randint(1, 9) for _ in range(400)],
+        "below": [-(2.0 ** rng.randint(0, 60)) for _ in range(400)],
+    }
+    names = list(columns)
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{n} DOUBLE" for n in names)).repartition(5)
+    points = {f"p{k}": k / 16 for k in range(17)}
+    got = {r["column"]: list(r)[1:] for r in percentiles(df, names, points).collect()}
+    for n in names:
+        data = sorted(columns[n])
+        for p, value in zip(points.values(), got[n]):
+            place = (len(data) - 1) * p
+            low, high = data[int(place)], data[-(-int(place * 10**6) // 10**6)] if place % 1 else data[int(place)]
+            want = low if low == high else low + (high - low) * (place - int(place))
+            assert str(value) == str(want + 0.0), (n, p)  # between -inf and 0 both are NaN
+    nan = spark.sql("SELECT explode(array(double('NaN'), 1.0D, NULL, 2.0D)) AS x")
+    assert percentiles(nan, ["x"], {"half": 0.5}).first().half == 2.0
+    assert str(percentiles(nan, ["x"], {"top": 1.0}).first().top) == "nan"
+    assert percentiles(nan.limit(0), ["x"], {"half": 0.5}).first().half is None
+
+
+def test_percentiles_without_sort_or_window(spark):
+    """A pass returns counts of parts; the rows themselves are neither sorted nor moved."""
+    df = spark.range(100_000).selectExpr("cast(id % 997 as double) as x")
+    got = percentiles(df, ["x"], {"half": 0.5})
+    assert got.first().half == df.selectExpr("percentile(x, 0.5) as m").first().m
+    plan = median_impute(df, ["x"])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Sort" not in plan and "CartesianProduct" not in plan
+
+
 def test_label_encode(spark, rows):
     df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c"), (3, "a"), (4, None)], "i INT, s STRING")
     assert rows(label_encode(df, "s", "code"), "i", "code") == [(0, 1), (1, 0), (2, 2), (3, 0), (4, None)]

@@ -7,10 +7,27 @@ from pyspark.sql import functions as F
 
 from transit_spark import schemas
 from transit_spark.operators.weather import standardise_weather
-from transit_spark.sinks.snapshots import current_snapshot, history, publish_snapshot
-from transit_spark.sinks.tables import append_path, export_csv, export_documents, publish_path, publish_table, register_external
+from transit_spark.sinks.snapshots import claim_version, current_snapshot, history, publish_log, publish_snapshot, put_if_absent
+from transit_spark.sinks.tables import (
+    append_path,
+    export_csv,
+    export_documents,
+    publish_path,
+    publish_table,
+    register_external,
+    replace_dates,
+    replace_table_dates,
+)
 from transit_spark.sources import csv_tables, tables
-from transit_spark.sources.delay_documents import delay_facts, read_delay_documents, rejected_cells, rejected_rows
+from transit_spark.sources.delay_documents import (
+    delay_facts,
+    read_delay_documents,
+    read_document_records,
+    rejected_cells,
+    rejected_rows,
+    split_records,
+    unpivot_documents,
+)
 from transit_spark.sources.pages import page_cards
 
 MATRIX = [
@@ -130,6 +147,83 @@ def test_snapshots_may_read_what_they_replace(spark, tmp_path, rows):
     assert [r.version for r in history(spark, root).collect()] == [6, 5, 4, 3, 2]
 
 
+def test_two_writers_get_two_versions(spark, tmp_path):
+    """Both have read the same newest version before either claims the next one."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "shared")
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda k: claim_version(spark, root, f"p{k}", "WRITE"), range(24)))
+    assert sorted(versions) == list(range(24))
+    assert {(r.version, r.path) for r in publish_log(spark, root).collect()} == {(v, f"p{k}") for k, v in enumerate(versions)}
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: publish_snapshot(days(spark, k + 1), root, operation=f"W{k}"), range(3)))
+    top = history(spark, root, 3).collect()
+    assert [r.version for r in top] == [26, 25, 24] and {r.operation for r in top} == {"W0", "W1", "W2"}
+    assert {current_snapshot(spark, root, v).count() for v in (24, 25, 26)} == {1, 2, 3}
+    assert current_snapshot(spark, root, 99) is None
+
+
+def test_a_lost_writer_leaves_no_version(spark, tmp_path):
+    root = str(tmp_path / "lost")
+    publish_snapshot(days(spark), root)
+    (tmp_path / "lost" / "versions" / f"{1:012d}.json").touch()  # created, never filled
+    assert current_snapshot(spark, root).count() == 4 and history(spark, root).count() == 1
+    publish_snapshot(days(spark, 7), root)
+    assert [r.version for r in history(spark, root).collect()] == [2, 0] and current_snapshot(spark, root).count() == 7
+    assert put_if_absent(spark, f"{root}/once", "a") and not put_if_absent(spark, f"{root}/once", "b")
+    assert (tmp_path / "lost" / "once").read_text() == "a"
+
+
+def test_other_file_systems_create_without_overwriting(spark, tmp_path, monkeypatch):
+    """The path that HDFS and object stores take, tried on Hadoop's own view of a local folder."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trial.link./t", f"file://{tmp_path}")
+    where = "viewfs://trial/t/one"
+    assert put_if_absent(spark, where, "zwölf") and not put_if_absent(spark, where, "b")
+    assert (tmp_path / "one").read_text(encoding="utf-8") == "zwölf"
+
+
+def stamps(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_only_the_dates_at_hand_are_replaced(spark, tmp_path, rows):
+    path = tmp_path / "dated"
+    replace_dates(days(spark, 10), str(path))
+    before = stamps(path)
+    one = days(spark, 3).filter("travel_date = DATE '2025-01-02'").withColumn("v", F.lit(77))
+    for _ in range(2):  # a rerun changes nothing more
+        replace_dates(one, str(path))
+        assert rows(tables.read_path(spark, str(path), ["v"])) == [(0,), (2,), (4,), (6,), (77,), (8,)]
+    after = stamps(path)
+    assert {f for f in before if "2025-01-01" in f} == {f for f in after if "2025-01-01" in f}
+    assert all(after[f] == t for f, t in before.items() if "2025-01-01" in f)
+    replace_dates(days(spark, 0), str(path))
+    assert tables.read_path(spark, str(path)).count() == 6
+
+
+def test_only_the_dates_at_hand_are_replaced_in_a_table(spark, rows):
+    replace_table_dates(days(spark, 10), "dated_table")
+    one = days(spark, 3).filter("travel_date = DATE '2025-01-02'").select("travel_date", F.lit(77).alias("v"))
+    for _ in range(2):
+        replace_table_dates(one, "dated_table")
+        assert rows(spark.table("dated_table"), "v") == [(0,), (2,), (4,), (6,), (77,), (8,)]
+    with pytest.raises(ValueError):
+        replace_table_dates(one.drop("v"), "dated_table")
+
+
+def test_broken_documents_become_reject_rows(spark, tmp_path, rows):
+    good = '{"Number":"1","Name":"T","data":[["Date","A",{"label":"B"}],["2025,1,1","5","6"]]}'
+    bad = ['{"Number":"2","Name":', "[1,2]", '{"Number":"x","Name":"T","data":[["Date","A"],["2025,1,1","5"]]}', '{"Number":"3","data":[["Date"]]}', '{"Number":"4","data":"none"}']
+    (tmp_path / "a.json").write_text("\n".join([good, *bad[:2]]) + "\n\n")
+    (tmp_path / "b.json").write_text("\n".join(bad[2:]))
+    documents, rejects = split_records(read_document_records(spark, str(tmp_path)))
+    assert rows(unpivot_documents(documents), "train_number", "station", "delay_min") == [(1, "A", 5), (1, "B", 6)]
+    got = rows(rejects, "file_name", "reason")
+    assert got == [("a.json", "document"), ("a.json", "document"), ("b.json", "document"), ("b.json", "no data"), ("b.json", "train number")]
+    assert bad[0] in {r.record for r in rejects.collect()}
+
+
 def test_partitioned_write_rebalances(spark, tmp_path):
     path = tmp_path / "balanced"
     publish_path(days(spark, 1000).repartition(8), str(path), partition_by="travel_date")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transit_spark.operators.joins import join_counted, with_global
-from transit_spark.operators.ordered import dense_codes, exact_percentiles, running_sum, value_counts_long
+from transit_spark.operators.ordered import dense_codes, running_sum
+from transit_spark.operators.percentiles import percentiles
 from transit_spark.session import stage
 
 
@@ -35,7 +36,7 @@ def frequency_index(df: DataFrame, column: str, code: str) -> DataFrame:
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians, one row per column."""
-    return exact_percentiles(value_counts_long(df, columns), {"median": 0.5})
+    return percentiles(df, columns, {"median": 0.5})
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], suffix: str = "_imp") -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from transit_spark.operators.ordered import exact_percentiles, running_sum, value_counts_long
-from transit_spark.session import stage
+from transit_spark.operators.ordered import running_sum
+from transit_spark.operators.percentiles import percentiles
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -89,30 +89,18 @@ def best_candidate(metrics: DataFrame, name: str = "candidate", metric: str = "a
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, stat, value)``: count, mean, std, min, quartiles and max of numeric columns.
 
-    Quartiles are exact, which sorts the distinct values; ``df.summary()`` has approximate ones.
+    Quartiles are exact; ``df.summary()`` has approximate ones. ``df`` is read several times, so it should be stored.
     """
-    counts = stage(value_counts_long(df, columns))
-    quartiles = exact_percentiles(counts, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
-    moments = df.agg(
-        *[F.stddev_samp(c).alias(f"std_{c}") for c in columns],
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-    )
-    from_moments = moments.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{s}_{c}`").cast("double").alias("value"))
-                    for c in columns
-                    for s in ("mean", "std")
-                ]
-            )
-        ).alias("e")
-    ).select("e.*")
-    ends = counts.groupBy("column").agg(
-        F.sum("n").cast("double").alias("count"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    flat = df.agg(*[f(F.col(f"`{c}`")).cast("double").alias(f"{s}_{c}") for s, f in measures.items() for c in columns])
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{s}_{c}`").alias("value"))
+        for c in columns
+        for s in measures
+    ]
+    quartiles = percentiles(df, columns, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
     return (
-        from_moments
-        .unionByName(ends.unpivot("column", ["count", "min", "max"], "stat", "value"))
+        flat.select(F.explode(F.array(*entries)).alias("e"))
+        .select("e.*")
         .unionByName(quartiles.unpivot("column", ["25%", "50%", "75%"], "stat", "value"))
     )

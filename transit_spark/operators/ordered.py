@@ -1,4 +1,4 @@
-"""Running totals, codes and percentiles over a total order, without one task seeing it all.
+"""Running totals and codes over a total order, without one task seeing it all.
 
 A window without partition keys, or with a hot one, sorts its whole group in one
 task. Groups of ordinary size get that plain window. The rows of larger groups, or
@@ -96,40 +96,3 @@ def dense_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
     ranked = running_sum(distinct, [column], {"__place": F.lit(1).cast("bigint")})
     return ranked.select(column, (F.col("__place") - 1).cast("int").alias(code))
-
-
-def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, n)`` for several numeric columns in one pass; NULLs left out."""
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
-    return (
-        df.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.column", "e.value")
-        .filter("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def exact_percentiles(counts: DataFrame, points: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles per column from ``value_counts_long`` output.
-
-    One output row per column; ``points`` maps output names to fractions.
-    """
-    cumulated = stage(running_sum(counts, ["value"], {"upto": F.col("n")}, ["column"]))
-    # One row per named column, so the broadcast is bounded by the length of that list.
-    totals = cumulated.groupBy("column").agg(F.max("upto").alias("total"))
-    joined = cumulated.join(F.broadcast(totals), "column")
-
-    picks = []
-    for name, fraction in points.items():
-        place = (F.col("total") - 1) * F.lit(fraction)
-        for end, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            picks.append(F.min(F.when(F.col("upto") > index, F.col("value"))).alias(f"__{name}_{end}"))
-    ends = joined.groupBy("column").agg(F.first("total").alias("total"), *picks)
-
-    def between(name: str, fraction: float) -> Column:
-        place = (F.col("total") - 1) * F.lit(fraction)
-        low, high = F.col(f"`__{name}_lo`"), F.col(f"`__{name}_hi`")
-        return low + (high - low) * (place - F.floor(place))
-
-    return ends.select("column", *[between(n, p).alias(n) for n, p in points.items()])

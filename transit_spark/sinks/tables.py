@@ -27,6 +27,33 @@ def publish_path(df: DataFrame, path: str, partition_by: str | None = None) -> N
     _writer(df, partition_by).parquet(path)
 
 
+def replace_dates(df: DataFrame, path: str, partition_by: str = "travel_date") -> None:
+    """Replace only the partitions that ``df`` has rows for; those of other dates keep their files.
+
+    A rerun with the same rows leaves the same table. ``df`` must not read that folder. The columns have to be those
+    of the folder.
+    """
+    _writer(df, partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def replace_table_dates(df: DataFrame, name: str, partition_by: str = "travel_date") -> None:
+    """The same for a managed table, which is made if it is not there."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        publish_table(df, name, partition_by)
+        return
+    table = spark.table(name)
+    if set(table.columns) != set(df.columns):
+        raise ValueError(f"columns of {name} are {table.columns}, not {df.columns}")
+    mode = "spark.sql.sources.partitionOverwriteMode"  # an insert takes it from the session alone
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        df.select(*table.columns).hint("rebalance", F.col(partition_by)).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, before)
+
+
 def append_path(df: DataFrame, path: str) -> None:
     """Add rows to a parquet folder, such as a metric log."""
     df.write.mode("append").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from transit_spark.functions.calendar import date_from_parts
 from transit_spark.schemas import DELAY_DOCUMENT
@@ -16,6 +17,36 @@ def read_delay_documents(spark: SparkSession, path: str, json_lines: bool = True
     return spark.read.schema(DELAY_DOCUMENT).option("multiLine", not json_lines).json(path)
 
 
+def read_document_records(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of JSON Lines files, broken ones included: those have only ``broken_text`` and their file.
+
+    Broken is a line that is no JSON object, and one whose fields have another form than a document's.
+    """
+    schema = StructType([*DELAY_DOCUMENT.fields, StructField("broken_text", StringType())])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken_text")
+    return reader.json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+
+
+def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents, and reject rows in the form of ``rejected_cells`` for what cannot be read as one.
+
+    A record without a number or without data rows is a reject as well, since no fact could come of it.
+    """
+    size = F.coalesce(F.size("data"), F.lit(0))
+    reason = (
+        F.when(F.col("broken_text").isNotNull(), "document")
+        .when(F.col("Number").try_cast("int").isNull(), "train number")
+        .when(size < 2, "no data")
+    )
+    marked = records.withColumn("reason", reason)
+    documents = marked.filter(F.col("reason").isNull()).select(*DELAY_DOCUMENT.names)
+    text = F.coalesce("broken_text", F.to_json(F.struct(*DELAY_DOCUMENT.names)))
+    rejects = marked.filter(F.col("reason").isNotNull()).select(
+        F.col("Number").try_cast("int").alias("train_number"), "file_name", text.alias("record"), "reason"
+    )
+    return documents, rejects
+
+
 def header_label(cell: Column) -> Column:
     """Header text; an object cell gives its label."""
     return F.coalesce(F.get_json_object(F.when(cell.startswith("{"), cell), "$.label"), cell)
