@@ -42,7 +42,7 @@ def json_props_parse(spark, sf_dir) -> DataFrame:
 
 
 def delay_documents(spark, sf_dir) -> DataFrame:
-    """One document per train from the facts: worst delay per day and station.
+    """One document per train and month from the facts: worst delay per day and station.
 
     Some header cells are objects; every document has a bad date row and a short row.
     """
@@ -51,13 +51,13 @@ def delay_documents(spark, sf_dir) -> DataFrame:
         .groupBy("train_number", "travel_date", "station")
         .agg(F.max("delay_min").cast("string").alias("delay"))
     )
-    # A train has five stations: lists hold five cells per day, and one row per day.
+    # A train has five stations and a month 31 days: lists hold five cells per day, and one row per day.
     per_day = worst.groupBy("train_number", "travel_date").agg(
         F.map_from_entries(F.collect_list(F.struct("station", "delay"))).alias("cells")
     )
-    per_train = per_day.groupBy("train_number").agg(
+    per_train = per_day.groupBy("train_number", F.trunc("travel_date", "month").alias("in_month")).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells"))))).alias("stations"),
-        F.collect_list(F.struct("travel_date", "cells")).alias("days"),
+        F.sort_array(F.collect_list(F.struct("travel_date", F.map_entries("cells").alias("cells")))).alias("days"),
     )
     header = F.transform(
         "stations",
@@ -67,7 +67,7 @@ def delay_documents(spark, sf_dir) -> DataFrame:
     def row(day):
         date = day["travel_date"]
         key = F.concat(F.year(date), F.lit(","), F.month(date), F.lit(","), F.day(date))
-        return F.concat(F.array(key), F.transform("stations", lambda s: F.try_element_at(day["cells"], s)))
+        return F.concat(F.array(key), F.transform("stations", lambda s: F.try_element_at(F.map_from_entries(day["cells"]), s)))
 
     bad = F.array(F.concat(F.array(F.lit("2024,2,30")), F.transform("stations", lambda s: F.lit("1"))))
     short = F.array(F.array(F.lit("2023,12,31"), F.lit("7")))
@@ -79,17 +79,19 @@ def delay_documents(spark, sf_dir) -> DataFrame:
     )
 
 
+MATRIX_SQL = """worst AS (SELECT train_number, travel_date, station, max(delay_min) AS delay_min FROM facts GROUP BY ALL),
+s AS (SELECT DISTINCT train_number, date_trunc('month', travel_date) AS in_month, station FROM worst),
+d AS (SELECT DISTINCT train_number, date_trunc('month', travel_date) AS in_month, travel_date FROM worst)"""
+
+
 @query(
     "matrix_unpivot",
-    px.with_clause(px.FACTS)
-    + """, worst AS (SELECT train_number, travel_date, station, max(delay_min) AS delay_min FROM facts GROUP BY ALL),
-s AS (SELECT DISTINCT train_number, station FROM worst),
-d AS (SELECT DISTINCT train_number, travel_date FROM worst)
-SELECT s.train_number, 'Train ' || s.train_number AS train_name, s.station, w.delay_min, d.travel_date
-FROM s JOIN d USING (train_number) LEFT JOIN worst w
+    px.with_clause(px.FACTS, MATRIX_SQL)
+    + """SELECT s.train_number, 'Train ' || s.train_number AS train_name, s.station, w.delay_min, d.travel_date
+FROM s JOIN d USING (train_number, in_month) LEFT JOIN worst w
   ON w.train_number = s.train_number AND w.station = s.station AND w.travel_date = d.travel_date
 UNION ALL
-SELECT train_number, 'Train ' || train_number, min(station), 7, DATE '2023-12-31' FROM s GROUP BY train_number""",
+SELECT train_number, 'Train ' || train_number, min(station), 7, DATE '2023-12-31' FROM s GROUP BY train_number, in_month""",
 )
 def matrix_unpivot(spark, sf_dir) -> DataFrame:
     cells = unpivot_documents(delay_documents(spark, sf_dir))
