@@ -10,6 +10,7 @@ from transit_spark.fixed_values import BARE_STOP_DEFAULTS
 from transit_spark.operators.compare import actual_delays, prediction_vs_actual
 from transit_spark.operators.history import add_maintenance_flag, add_rolling_delay
 from transit_spark.operators.lookups import (
+    answer_routes,
     answer_waiting_list,
     distinct_pairs,
     find_routes,
@@ -234,6 +235,15 @@ def test_app_lookups(spark, rows):
         ("2", "Train 2: A -> B"),
         (None, "No route found."),
     ]
+    asked = spark.createDataFrame(
+        [(7, "A", "B", "2025-01-01"), (7, "A", "B", "2025-01-01"), (8, "B", "A", "2025-01-01"), (9, None, "B", "2025-01-01")],
+        "request_id INT, source_station STRING, destination_station STRING, scheduled_departure STRING",
+    )
+    assert rows(answer_routes(asked, schedule), "request_id", "n_routes", "answer") == [
+        *[(7, 2, "Possible Routes:\nTrain 1: A -> B\nTrain 2: A -> B")] * 2,
+        (8, 0, "No route found."),
+        (9, 0, "No route found."),
+    ]
     schedule.createOrReplaceTempView("schedule_view")
     odd = run_sql(spark, "SELECT * FROM schedule_view WHERE source_station = :s", s="A' OR '1'='1")
     assert odd.count() == 0

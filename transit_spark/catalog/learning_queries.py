@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from transit_spark.catalog import booking_queries as bq, delay_queries as dq, proxies as px
 from transit_spark.catalog.registry import Registry
+from transit_spark.catalog.request_queries import day_files
 from transit_spark.models import candidates as cand, features
 from transit_spark.models.delays import delay_training_set, evaluate_delay_model, stored_delay_model
 from transit_spark.models.features import CATEGORICAL, NUMERIC
 from transit_spark.models.store import ModelStore
 from transit_spark.operators import encode, metrics
+from transit_spark.operators.compare import actual_delays, prediction_vs_actual
 from transit_spark.operators.joins import with_global
 from transit_spark.operators.lookups import LOOKUP_MEANS, station_lookup
 from transit_spark.operators.routes import global_stats, out_of_fold_stats, route_stats
@@ -373,6 +375,14 @@ def ml_request_documents(spark, sf_dir) -> DataFrame:
     return result_documents(scored, errors)
 
 
+@query("ml_prediction_vs_actual")
+def ml_prediction_vs_actual(spark, sf_dir) -> DataFrame:
+    """What the forest predicts for a train and station, averaged over the requested dates, beside what was scraped."""
+    scored, _, _ = model_scores(spark, sf_dir)
+    predictions = scored.groupBy("train_number", "station").agg(F.bround(F.avg("prediction"), 1).alias("predicted_delay_min"))
+    return prediction_vs_actual(predictions, actual_delays(*day_files(spark, sf_dir)))
+
+
 @query("ml_delay_metrics")
 def ml_delay_metrics(spark, sf_dir) -> DataFrame:
     model, _, _, test = delay_model(spark, sf_dir)

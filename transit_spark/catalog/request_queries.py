@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from transit_spark.catalog import delay_queries as dq, proxies as px
 from transit_spark.catalog.registry import Registry
 from transit_spark.operators.compare import actual_delays, prediction_vs_actual
-from transit_spark.operators.lookups import find_routes, run_sql, split_requests, stop_lookup
+from transit_spark.operators.lookups import answer_routes, find_routes, run_sql, split_requests, stop_lookup
 from transit_spark.operators.ordered import dense_codes
 from transit_spark.plans.delays import prediction_rows, request_features, result_documents, score_delays
 from transit_spark.session import stage
@@ -125,12 +125,32 @@ SELECT q.*, s.train_number, coalesce('Train ' || s.train_number || ': ' || q.sou
 FROM q LEFT JOIN schedule s USING (source_station, destination_station, scheduled_departure)""",
 )
 def route_finder(spark, sf_dir) -> DataFrame:
-    requests = px.table(spark, sf_dir, "orders").select(
+    return find_routes(route_requests(spark, sf_dir), px.schedule(spark, sf_dir))
+
+
+def route_requests(spark, sf_dir) -> DataFrame:
+    return px.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
         F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("source_station"),
         F.concat(F.lit("N"), (F.col("o_custkey") % 6).cast("string")).alias("destination_station"),
         F.col("o_orderdate").cast("date").cast("string").alias("scheduled_departure"),
     )
-    return find_routes(requests, px.schedule(spark, sf_dir))
+
+
+@query(
+    "route_answers",
+    px.with_clause(px.SCHEDULE)
+    + """, q AS (SELECT o_orderkey AS request_id, 'N' || (o_custkey % 25) AS source_station,
+     'N' || (o_custkey % 6) AS destination_station, strftime(o_orderdate, '%Y-%m-%d') AS scheduled_departure FROM orders),
+a AS (SELECT source_station, destination_station, scheduled_departure, count(*) AS n_routes, 'Possible Routes:' || chr(10) ||
+     string_agg('Train ' || train_number || ': ' || source_station || ' -> ' || destination_station, chr(10) ORDER BY train_number) AS answer
+     FROM schedule GROUP BY ALL)
+SELECT q.*, coalesce(n_routes, 0) AS n_routes, coalesce(answer, 'No route found.') AS answer
+FROM q LEFT JOIN a USING (source_station, destination_station, scheduled_departure)""",
+)
+def route_answers(spark, sf_dir) -> DataFrame:
+    """Every request with its id and the routes in one text."""
+    return answer_routes(route_requests(spark, sf_dir), px.schedule(spark, sf_dir))
 
 
 @query(

@@ -31,3 +31,8 @@ def route_line(train: Column, source: Column, destination: Column) -> Column:
 
 
 NO_ROUTE = "No route found."
+
+
+def possible_routes(lines: Column) -> Column:
+    """Route lines under their heading."""
+    return F.concat(F.lit("Possible Routes:\n"), F.array_join(lines, "\n"))

@@ -126,6 +126,28 @@ def find_routes(requests: DataFrame, schedule: DataFrame) -> DataFrame:
     return found.withColumn("answer", line).unionByName(missing.withColumn("answer", F.lit(messages.NO_ROUTE)))
 
 
+def answer_routes(requests: DataFrame, schedule: DataFrame) -> DataFrame:
+    """One row per request ``(request_id, source_station, destination_station, scheduled_departure)`` with its answer.
+
+    The answer lists every train of the schedule at that departure, by number, or says that there is none. It is made
+    once for each distinct question, from the trains of one departure, and then joined to the requests, so the result
+    is as long as the requests; a question that very many ask is split by adaptive execution.
+    """
+    keys = list(ROUTE_KEYS)
+    found = find_routes(requests, schedule).filter(F.col("train_number").isNotNull())
+    lines = F.sort_array(F.collect_list(F.struct("train_number", "answer")))
+    answers = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_routes"), lines.alias("lines")).select(
+        *keys, "n_routes", messages.possible_routes(F.col("lines.answer")).alias("answer")
+    )
+    joined = join_counted(requests.select("request_id", *keys), answers, keys)
+    return joined.select(
+        "request_id",
+        *keys,
+        F.coalesce("n_routes", F.lit(0).cast("bigint")).alias("n_routes"),
+        F.coalesce("answer", F.lit(messages.NO_ROUTE)).alias("answer"),
+    )
+
+
 def run_sql(spark: SparkSession, text: str, **args) -> DataFrame:
     """SQL with named parameters; values never become part of the text."""
     return spark.sql(text, args=args)
