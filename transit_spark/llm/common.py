@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 #: Texts are handed on in pieces of about this many bytes, whatever the size of the Arrow batch.
 PIECE_BYTES = 8 << 20
+#: Where a task makes arrays many times as large as its texts.
+SMALL_PIECE_BYTES = 2 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -41,6 +43,12 @@ def ship_code(spark: SparkSession) -> None:
     context._transit_shipped = True
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark would take for it, so that tasks write where Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
     ship_code(spark)
@@ -53,20 +61,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; NULL counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches holding about ``PIECE_BYTES`` of text each; a longer text comes alone."""
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", n_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches holding about ``n_bytes`` of text each; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.nan_to_num(
             np.asarray(pc.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), dtype=np.float64)
         )
-        part = ((np.cumsum(sizes) - sizes) // PIECE_BYTES).astype(np.int64)
+        part = ((np.cumsum(sizes) - sizes) // n_bytes).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(cuts, np.r_[cuts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)

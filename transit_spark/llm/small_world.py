@@ -1,34 +1,47 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs, one per shard.
 
 Every shard of the vectors gets a graph; every vector is searched in every graph, in blocks. A search goes down the
-layers with a beam and then on through all vectors within the similarity, so groups of any size are found whole. In
-each task a part of its block is also compared by brute force; as long as the beam misses too many of these links it is
-widened. Found pairs are verified by cosine in double precision, counted, and reduced to a spanning forest.
+layers with a beam and then on through all vectors within the similarity, so groups of any size are found whole. A
+fixed number of vectors of the whole table is compared with every shard by brute force when its graph is built; as long
+as the beam misses too many of these links it is widened, and the shard is searched with the beam that passed. Graphs
+are files below the shared folder, so that any task can load any of them. Found pairs are verified by cosine in double precision, counted, and reduced to a spanning forest.
 """
 
 from __future__ import annotations
 
 import io
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import components
-from transit_spark.session import stage
+from transit_spark.llm.common import components, qualified
+from transit_spark.llm.token_files import file_system
+from transit_spark.operators.joins import counted
+from transit_spark.session import checkpoint_root, stage
 
 SIMILARITY = 0.9
 SHARDS, SHARD_ROWS = 6, 100_000
 BLOCK_ROWS = 2048
 LINKS, BUILD_BEAM, BEAM = 16, 48, 32
-#: One vector in so many of a block is audited; the beam doubles until this part of the audited links is found.
-AUDIT_EVERY, AUDIT_RECALL = 8, 0.99
+#: So many vectors of the table, by the hash of their ids, are audited in every shard; the beam doubles until this part
+#: of their links is found.
+AUDIT_ROWS, AUDIT_RECALL = 512, 0.99
 BATCH = 256
 LAYER_RATIO, TOP_ROWS = 16, 64
 
+#: Rows that may have links.
+SOUND = (
+    "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) "
+    "and exists(v, x -> x <> 0)"
+)
+
 
 def _top(sims: np.ndarray, ids: np.ndarray, flags: np.ndarray, n: int):
     """The n best columns of each row, best first."""
@@ -217,23 +230,24 @@ class Graph:
         exact = np.concatenate([np.einsum("pd,pd->p", self.vectors[v[a : a + 65536]], queries[q[a : a + 65536]]) for a in range(0, len(v), 65536)] or [np.empty(0)])
         return q[exact >= similarity], v[exact >= similarity]
 
-    def save(self) -> bytes:
+    def save(self, ids: np.ndarray, weights: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, top=self.top, **{f"layer{k}": x.links for k, x in enumerate(self.layers)})
+        np.savez(out, ids=ids, weights=weights, vectors=self.vectors, top=self.top, **{f"layer{k}": x.links for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
+        """The graph, the ids of its vectors and their weights."""
         self, held = cls.__new__(cls), np.load(io.BytesIO(data))
         self.vectors, self.top = held["vectors"], held["top"]
         self.fast = self.vectors.astype(np.float32)
         self.layers = []
-        for k in range(len(held.files) - 2):
+        for k in range(len(held.files) - 4):
             links = held[f"layer{k}"]
             layer = Layer(np.empty(0, np.int32), links.shape[1], 0)
             layer.links = links
             self.layers.append(layer)
-        return self
+        return self, held["ids"], held["weights"]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -242,9 +256,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def audited_links(graph: Graph, queries: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of all queries, batch by batch, by a beam wide enough for the audited ones."""
-    sample = queries[::AUDIT_EVERY]
+def audited_beam(graph: Graph, sample: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """(beam, links of the sample, links found with that beam): the beam doubles until the audit passes."""
     truth = set()
     for a in range(0, len(sample), BATCH):
         q, v = np.nonzero(sample[a : a + BATCH] @ graph.vectors.T >= similarity)
@@ -255,12 +268,60 @@ def audited_links(graph: Graph, queries: np.ndarray, similarity: float) -> Itera
         for a in range(0, len(sample), BATCH):
             q, v = graph.within(sample[a : a + BATCH], similarity, beam)
             found |= set(zip((q + a).tolist(), v.tolist()))
-        if len(truth & found) >= AUDIT_RECALL * len(truth) or beam >= len(graph.vectors):
-            break
+        hits = len(truth & found)
+        if hits >= AUDIT_RECALL * len(truth) or beam >= len(graph.vectors):
+            return beam, len(truth), hits
         beam *= 2
-    for a in range(0, len(queries), BATCH):
-        q, v = graph.within(queries[a : a + BATCH], similarity, beam)
-        yield q + a, v
+
+
+def save_file(path: str, data: bytes, attempt: int) -> None:
+    """Write under a passing name and move into place, so a second attempt at a task does no harm."""
+    system, inner = file_system(path)
+    folder, name = os.path.split(inner)
+    system.create_dir(folder)
+    with system.open_output_stream(f"{folder}/.{name}.{attempt}") as out:
+        out.write(data)
+    system.move(f"{folder}/.{name}.{attempt}", inner)
+
+
+def load_file(path: str) -> bytes:
+    system, inner = file_system(path)
+    with system.open_input_file(inner) as held:
+        return held.read()
+
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """(v, rep, weight): each sound vector once, with its smallest id and its number of rows."""
+    return stage(rows.where(SOUND).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+
+
+def shard_graphs(same: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(shard, size, path, beam, links, found): the graph of every shard, and its audit."""
+    spark, n = same.sparkSession, same.count()
+    n_shards = max(SHARDS, -(-n // SHARD_ROWS))
+    folder = qualified(spark, f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/graphs-{uuid.uuid4().hex}")
+    # at most AUDIT_ROWS vectors, whatever the table
+    audited = same.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(AUDIT_ROWS).select("v").collect()
+    samples: dict[int, list] = {}
+    for row in audited:
+        samples.setdefault(len(row.v), []).append(row.v)
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        shard, width = table.column("shard")[0].as_py(), table.column("size")[0].as_py()
+        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        graph = Graph(unit(values))
+        sample = unit(np.array(samples[width])) if width in samples else graph.vectors[:0]
+        beam, links, found = audited_beam(graph, sample, similarity)
+        path = f"{folder}/shard-{shard:06d}-{width}.npz"
+        save_file(path, graph.save(table.column("rep").to_numpy(), table.column("weight").to_numpy()), TaskContext.get().taskAttemptId())
+        kinds = [("shard", pa.int32()), ("size", pa.int32()), ("path", pa.string()), ("beam", pa.int32()), ("links", pa.int64()), ("found", pa.int64())]
+        return pa.table([[x] for x in (shard, width, path, beam, links, found)], schema=pa.schema(kinds))
+
+    dealt = same.select(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(n_shards)).cast("int").alias("shard"), F.size("v").alias("size"), "rep", "weight", "v")
+    return stage(
+        dealt.groupBy("shard", "size").applyInArrow(build, "shard int, size int, path string, beam int, links long, found long")
+    )
 
 
 def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -272,33 +333,11 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     values = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), values.alias("v"))
-    sound = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    # one row per distinct vector, found by a hash and compared in full
-    same = rows.where(sound).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    same = stage(same)
+    same = distinct_vectors(rows)
     n = same.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n_shards, n_blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
-
-    def packed(key: str, buckets: int, salt: int) -> DataFrame:
-        spread = same.withColumn(key, F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(buckets)).cast("int")).withColumn("size", F.size("v"))
-        return spread.select(key, "size", "rep", "weight", "v")
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        width = table.column("size")[0].as_py()
-        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-        graph = Graph(unit(values))
-        return pa.table(
-            {
-                "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
-                "size": pa.array([width], pa.int32()),
-                "ids": pa.array([table.column("rep").to_numpy().tobytes()], pa.binary()),
-                "weights": pa.array([table.column("weight").to_numpy().tobytes()], pa.binary()),
-                "graph": pa.array([graph.save()], pa.binary()),
-            }
-        )
+    n_blocks = max(1, -(-n // BLOCK_ROWS))
 
     def block(table: pa.Table) -> pa.Table:
         values = table.column("v").combine_chunks().flatten().to_numpy()
@@ -311,29 +350,27 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str
             }
         )
 
-    graphs = stage(packed("shard", n_shards, 1).groupBy("shard", "size").applyInArrow(build, "shard int, size int, ids binary, weights binary, graph binary"))
-    blocks = packed("block", n_blocks, 2).groupBy("block", "size").applyInArrow(block, "block int, size int, queries binary, values binary")
-    tasks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    # one task per shard and block; a shard's graph goes to its tasks by the join
-    tasks = tasks.repartition(n_shards * n_blocks if n_shards * n_blocks < 4096 else 4096, "shard", "block").join(
-        graphs.hint("shuffle_hash"), ["shard", "size"]
-    )
+    graphs = shard_graphs(same, similarity)
+    dealt = same.select(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(n_blocks)).cast("int").alias("block"), F.size("v").alias("size"), "rep", "v")
+    blocks = dealt.groupBy("block", "size").applyInArrow(block, "block int, size int, queries binary, values binary")
+    # one row per shard and block, each dealt to a task of its own; of the graph it has the path alone
+    tasks = blocks.join(counted(graphs), "size")
+    tasks = tasks.repartition(min(4096, graphs.count() * n_blocks), "shard", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
-            for shard, width, queries, values, ids, weights, data in zip(
-                *(batch.column(c).to_pylist() for c in ("shard", "size", "queries", "values", "ids", "weights", "graph"))
-            ):
-                if held is None or held[0] != (shard, width):
-                    held = ((shard, width), Graph.load(data))
-                graph = held[1]
-                ids, weights = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+            for width, path, beam, queries, values in zip(*(batch.column(c).to_pylist() for c in ("size", "path", "beam", "queries", "values"))):
+                if held is None or held[0] != path:
+                    held = (path, *Graph.load(load_file(path)))
+                _, graph, ids, weights = held
                 queries = np.frombuffer(queries, np.int64)
                 vectors = unit(np.frombuffer(values, np.float64).reshape(-1, width))
                 counts, label = np.zeros(len(queries), np.int64), queries.copy()
                 node_label = ids.copy()
-                for q, v in audited_links(graph, vectors, similarity):
+                for at in range(0, len(vectors), BATCH):
+                    q, v = graph.within(vectors[at : at + BATCH], similarity, beam)
+                    q = q + at
                     other = ids[v] != queries[q]
                     q, v = q[other], v[other]
                     counts += np.bincount(q, weights[v], len(queries)).astype(np.int64)
@@ -354,7 +391,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str
                     ["node", "n_links", "label"],
                 )
 
-    found = stage(tasks.select("shard", "size", "queries", "values", "ids", "weights", "graph").mapInArrow(search, "node long, n_links long, label long"))
+    found = stage(tasks.select("size", "path", "beam", "queries", "values").mapInArrow(search, "node long, n_links long, label long"))
     joined = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("others"))
     classes = (
@@ -363,7 +400,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str
         .join(joined, F.col("rep") == F.col("node"), "left")
         .select("v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    good = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False))).withColumn("v", F.when(F.col("sound"), F.col("v")))
+    good = rows.withColumn("sound", F.coalesce(F.expr(SOUND), F.lit(False))).withColumn("v", F.when(F.col("sound"), F.col("v")))
     out = good.join(classes, "v", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

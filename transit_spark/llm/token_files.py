@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import keyed, pieces
+from transit_spark.llm.common import keyed, pieces, qualified
 from transit_spark.session import stage
 
 MAGIC = b"IDPK"
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 64 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 END_ID = 2
 _HEAD, _TAIL = struct.Struct("<4sB3xI"), struct.Struct("<QQQQ")
 
@@ -125,17 +126,23 @@ class IdReader:
         self.docs = [int(d) if k else None for d, k in zip(ids, known)]
         self.counts = np.frombuffer(table, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
+        self.held = (-1, np.empty(0, np.uint32))
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of one block; the last one read is kept, so documents in a row read each block once."""
+        if self.held[0] != k:
+            data = self.file.read_at(int(self.offsets[k + 1] - self.offsets[k]), int(self.offsets[k]))
+            self.held = (k, unpack_ids(data, self.width, min(self.n_ids - k * self.block_ids, self.block_ids)))
+        return self.held[1]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the file."""
         if not n:
             return np.empty(0, np.uint32)
         first, last = start // self.block_ids, (start + n - 1) // self.block_ids
-        data = self.file.read_at(int(self.offsets[last + 1] - self.offsets[first]), int(self.offsets[first]))
-        have = min(self.n_ids, (last + 1) * self.block_ids) - first * self.block_ids
-        if self.block_ids * self.width % 8:
-            raise ValueError("blocks must end on a byte")
-        return unpack_ids(data, self.width, have)[start - first * self.block_ids :][:n]
+        parts = [self.block(k) for k in range(first, last + 1)]
+        whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return whole[start - first * self.block_ids :][:n]
 
 
 class WordEncoder:
@@ -144,7 +151,11 @@ class WordEncoder:
     The tokenizer drops white space and none of its patterns crosses it, so a text's ids are those of its stretches
     between ASCII white space, one after the other. Each stretch is encoded by the library once and kept. It lowers
     case, so A-Z are lowered first (except where a special token may stand), and a letter keeps apart from the
-    punctuation behind it, so a stretch ending in such is put together from its two parts.
+    punctuation behind it, so a stretch ending in such is put together from its two parts. Some letters are normalised
+    to a letter and a mark, which goes with the punctuation; a stretch with such an end is encoded whole.
+
+    Two generations of the cache are kept: when the young one is full it becomes the old one, from which words still in
+    use come back without being encoded again.
     """
 
     TAIL = b".,;:!?#$%&*"
@@ -153,7 +164,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}
+        self.tokenizer, self.words, self.cache, self.old = Tokenizer.from_file(path), words, {}, {}
 
     @property
     def vocabulary(self) -> int:
@@ -162,22 +173,52 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [(d if b"<|" in d else d.lower()).split() for d in map(str.encode, texts)]
         if len(self.cache) > self.words:
-            self.cache.clear()
-        cache = self.cache
-        missing = {w for words in split for w in words if w not in cache}
-        parts = {}
+            self.cache, self.old = {}, self.cache
+        get, joined, missing = self.cache.get, [], set()
+        for words in split:
+            try:
+                joined.append(b"".join(map(get, words)))
+            except TypeError:  # a word is not in the cache yet
+                joined.append(None)
+                missing.update(w for w in words if get(w) is None)
+        if missing:
+            self._learn(missing)
+            joined = [b"".join(map(get, words)) if own is None else own for words, own in zip(split, joined)]
+        return [np.frombuffer(own, "<u4") for own in joined]
+
+    def _apart(self, core: bytes) -> bool:
+        """Whether the text ends in a letter also once it is normalised."""
+        last = core[-1]
+        if last < 128:
+            return 97 <= last <= 122 or 65 <= last <= 90
+        return unicodedata.normalize("NFC", core.decode())[-1].lower()[-1].isalpha()
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Put these stretches into the cache; what no generation has is encoded, each part once."""
+        cache, old, parts, new = self.cache, self.old, {}, set()
         for w in missing:
+            known = old.get(w)
+            if known is not None:
+                cache[w] = known
+                continue
             core = w.rstrip(self.TAIL)
-            if core and len(core) < len(w) and core.decode()[-1].isalpha():
+            if core and len(core) < len(w) and self._apart(core):
                 parts[w] = (core, w[len(core) :])
-        new = list({p for two in parts.values() for p in two if p not in cache} | (missing - parts.keys()))
+                for p in parts[w]:
+                    if p not in cache:
+                        if p in old:
+                            cache[p] = old[p]
+                        else:
+                            new.add(p)
+            else:
+                new.add(w)
+        new = list(new)
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, (core, tail) in parts.items():
             cache[w] = cache[core] + cache[tail]
-        return [np.frombuffer(b"".join([cache[w] for w in words]), "<u4") for words in split]
 
 
 def write_token_files(
@@ -190,6 +231,7 @@ def write_token_files(
     equal ids are ordered by a hash of their text. Returns one row per file: (path, file_start, n_ids, n_docs), where
     ``file_start`` counts the ids of all files before it.
     """
+    folder = qualified(docs.sparkSession, folder)
     tie = F.xxhash64("text")
     ordered = keyed(docs, id_col, text_col).withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
