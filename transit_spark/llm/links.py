@@ -5,7 +5,7 @@ its smallest record; once those links are verified and joined to components, a p
 change the result any more, and only pairs across components are still verified. No group is cut short.
 
 Groups overlap: near copies share many signatures, so the same pair lies in many groups. What is left after the rounds
-is therefore not joined member by member. Nodes go into blocks of a bounded size, by the largest group each is in, and
+is therefore not joined member by member. Nodes go into blocks of a bounded size, by the largest group near them, and
 two blocks that share a group meet once, as one tile. A task compares the sets of a tile and gives the links alone.
 """
 
@@ -107,7 +107,7 @@ def _tile_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], x
     usual = values[counts.argmax()]
     found = []
     for own, other in ((x[labels[x] != usual], y), (x[labels[x] == usual], y[labels[y] != usual])):
-        common = _common([sets[k] for k in own], [sets[k] for k in other])
+        common = _common([sets[k] for k in own], [sets[k] for k in other]).astype(np.float64)
         sizes = [np.array([len(sets[k]) for k in side], np.float64) for side in (own, other)]
         linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
         i, j = np.nonzero(linked & (labels[own][:, None] != labels[other][None, :]))
@@ -115,13 +115,27 @@ def _tile_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], x
     return np.concatenate(found)
 
 
-def _links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _neighbourhoods(rows: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, home): the largest group within a few steps from group to overlapping group.
+
+    Near copies share many groups, of which each may be the largest for some of them. Taking the largest one of all
+    that their groups' other members are in brings them together, so that they fill few blocks.
+    """
+    home = rows.groupBy("node").agg(F.max(F.struct("n", "key")).alias("home"))
+    for _ in range(steps):
+        best = rows.join(home, "node").groupBy("key").agg(F.max("home").alias("home"))
+        home = rows.join(best, "key").groupBy("node").agg(F.max("home").alias("home"))
+    return stage(home.select("node", F.col("home.key").alias("home")))
+
+
+def _links_across(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between nodes with different ``c`` of a group: ``rows`` has key, node, c and the group's size n.
 
     A pair of blocks that share a group is compared in full, so a link may also come from two nodes that share none.
     """
-    home = rows.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"), F.min("c").alias("c"))
-    weighed = home.join(sets, "node").withColumn("weight", F.size("elements") + F.lit(NODE_ELEMENTS))
+    labels = rows.groupBy("node").agg(F.min("c").alias("c")).join(_neighbourhoods(rows), "node")
+    home = stage(labels.select("node", "c", "home"))
+    weighed = home.join(sets_of(home.select("node")), "node").withColumn("weight", F.size("elements") + F.lit(NODE_ELEMENTS))
     loads = weighed.groupBy("home").agg(F.sum("weight").alias("load"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / BLOCK_ELEMENTS))
     placed = stage(weighed.join(loads, "home").select("node", "c", "elements", "weight", F.xxhash64("home", part).alias("block")))
@@ -160,11 +174,13 @@ def _links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+def linked_components(
+    groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int
+) -> DataFrame:
     """(node, component) from rows of ``GROUPS``; ``verify`` keeps the pairs (a, b) that are linked.
 
-    ``sets`` has a row (node, elements) of distinct 64-bit elements for every node of a group; two are linked when
-    100 * common >= ``percent`` * union.
+    ``sets_of`` gives a row (node, elements) of distinct 64-bit elements for each of the nodes it is given, those alone
+    that are still compared at the end; two are linked when 100 * common >= ``percent`` * union.
 
     First each node is verified against its smallest partner. Then, round by round, nodes that are still apart from
     others of their groups are verified against one of those, the hub of the round. Groups of near copies grow
@@ -204,7 +220,7 @@ def linked_components(groups: DataFrame, verify: Callable[[DataFrame], DataFrame
         near = stage(near.unionByName(verify(now)))
         _tidy(groups)
     # groups with several components: the members that differ in theirs, tile by tile
-    links = near.unionByName(verify(pairs)).unionByName(_links_across(rows.select("key", "node", "c", "n"), sets, percent))
+    links = near.unionByName(verify(pairs)).unionByName(_links_across(rows.select("key", "node", "c", "n"), sets_of, percent))
     return components(links)
 
 

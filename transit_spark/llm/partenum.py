@@ -6,11 +6,10 @@ differing elements, and each part into three cells; leaving out each cell in tur
 one of which is free of differences. So linked sets always share a signature, and every pair that does is verified.
 
 A signature without elements says nothing. Where there are few parts, it is replaced by itself combined with all
-signatures of a second, independent dealing, which linked sets share as well. Where there are many, that would take the
-square of their number, and it is left out: a part is free of differences, or has one and elements in other cells, with
-a probability of 0.38 or more even for sets that only just link, so all ``SURE_PARTS`` parts, of one dealing or
-of several, fail with an estimated probability below 3e-17. Signatures of near copies spread
-over all buckets, since each set has many.
+signatures of a second, independent dealing, which linked sets share as well. Where there are many, the domain is dealt
+into ``SPARE_PARTS`` more parts than needed: linked sets then agree in one part more than that, so a set with at most so
+many signatures without elements may leave those out, and still shares another one. Only sets with more of them pay for
+the combined ones. So no link is lost. Signatures of near copies spread over all buckets, since each set has many.
 """
 
 from __future__ import annotations
@@ -30,9 +29,9 @@ from transit_spark.session import stage
 BUCKET_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 CELLS = 3
-#: From this number of parts on, signatures without elements are left out, and sets dealt until there are ``SURE_PARTS``.
+#: From this number of parts on, ``SPARE_PARTS`` more are dealt, so that signatures without elements can be left out.
 MANY_PARTS = 20
-SURE_PARTS = 80
+SPARE_PARTS = 4
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -92,18 +91,13 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             differ = np.where(below, top_own * 2 * (100 - percent) // (100 + percent), differ)
         parts = np.maximum(1, (differ + 2) // 2)
         many = parts >= MANY_PARTS
+        parts = parts + SPARE_PARTS * many
         use = live[owner]
         s, o, light = _enumerated(elements[use], owner[use], len(sets), np.where(live, parts, 0), differ, joint, 1)
         keys.append(s[~light])
         owners.append(o[~light])
-        dealings = np.where(live & many, -(-SURE_PARTS // parts), 1)
-        for nth in range(1, int(dealings.max(initial=1))):
-            more = dealings > nth
-            use = more[owner]
-            s2, o2, light2 = _enumerated(elements[use], owner[use], len(sets), np.where(more, parts, 0), differ, joint, 2 + nth)
-            keys.append(s2[~light2])
-            owners.append(o2[~light2])
-        light &= ~many[o]
+        without = np.bincount(o[light], minlength=len(sets))
+        light &= ~(many & (without <= SPARE_PARTS))[o]
         if light.any():
             weak_s, weak_o = s[light], o[light]
             again = np.zeros(len(sets), bool)
@@ -201,8 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     """(doc_id, n_shingles, component_id) for every row.
 
     Two documents are linked when ``100 * common >= percent * union`` of their distinct shingles; every such pair is
-    found, for sets of many parts up to the probability named above. NULL, empty and blank texts have no shingles and are linked with nothing. Equal texts are linked. Rows with
-    equal ids count as one document; a NULL id is linked with nothing and its component is NULL.
+    found. NULL, empty and blank texts have no shingles and are linked with nothing. Equal texts are linked. Each row
+    has the size of its own set; the links of rows with equal ids are those of all of them, and they share a
+    component. A NULL id is linked with nothing and its component is NULL. An empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
     groups = candidate_groups(rows, shingle, percent)
@@ -227,12 +222,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
         both = pairs.join(left, "a").join(right, "b").withColumn("common", common)
         return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
-    found = linked_components(groups, verify, sets.withColumnRenamed("doc_id", "node"), percent).select(F.col("node").alias("doc_id"), "component")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return sets.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
 
-    # rows without an id or a word were not sent on
-    sizes = groups.where("kind = 'size'").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
+    found = linked_components(groups, verify, sets_of, percent).select(F.col("node").alias("doc_id"), "component")
+
+    # rows without a word were not sent on; an id that several rows have has several sizes, counted row by row
+    sizes = groups.where("kind = 'size'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     own = rows.select("doc_id", "text")
-    known = own.select("doc_id").join(sizes, "doc_id", "left").where("doc_id is not null")
-    loose = own.where("doc_id is null").mapInArrow(count, "doc_id long, n_shingles long")
-    counted = known.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).unionByName(loose)
+    several = own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = stage(several)
+    single = own.select("doc_id").where("doc_id is not null").join(several, "doc_id", "left_anti").join(sizes, "doc_id", "left")
+    loose = own.where("doc_id is null").unionByName(own.join(several, "doc_id", "left_semi"))
+    loose = loose.mapInArrow(count, "doc_id long, n_shingles long")
+    counted = single.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).unionByName(loose)
     return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
