@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import bucket_count, keyed, mix64, pack, pieces, text_bytes
+from transit_spark.llm.common import SMALL_PIECE_BYTES, bucket_count, fresh, keyed, mix64, pack, pieces, text_bytes
 from transit_spark.llm.links import GROUPS, linked_components, split_groups
 from transit_spark.session import stage
 
@@ -46,6 +46,16 @@ def shingles(line: str, size: int = SHINGLE) -> set[str]:
     return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
 
 
+def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the line's shingles."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = min(size, len(points))
+    out = np.full(len(points) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = mix64(out + points[k : k + len(out)])
+    return np.unique(out.view(np.int64))
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of all bands, one row per line."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -74,13 +84,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
     # an empty cell takes the value of a cell chosen by a fixed sequence of its own
     full = least != none
     out = least.copy()
+    rows, cells = np.nonzero(~full)
     for attempt in range(1, 400):
-        rows, cells = np.nonzero(out == none)
         if not len(rows):
             break
-        source = (mix64(cells.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(width)).astype(np.int64)
+        turns = mix64(np.arange(width, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(width)
+        source = turns.astype(np.int64)[cells]
         good = full[rows, source]
         out[rows[good], cells[good]] = least[rows[good], source[good]]
+        rows, cells = rows[~good], cells[~good]
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(3) + out.reshape(-1, BANDS, ROWS)[:, :, r] + np.uint64(1))
@@ -112,7 +124,7 @@ def candidate_groups(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Rows of ``GROUPS`` for lines that share a band; equal lines of a piece travel once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, n_bytes=2 * SMALL_PIECE_BYTES):
             found = distinct_lines(batch.column("text").to_pylist())
             if not found:
                 continue
@@ -142,7 +154,7 @@ def lines_of(rows: DataFrame, wanted: DataFrame, n_buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches):
             found = distinct_lines(batch.column("text").to_pylist())
             parts: dict[int, list[int]] = {}
@@ -204,15 +216,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(left, "a").join(right, "b").mapInArrow(_similar, "a long, b long")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "line"):
-            own = [np.array(sorted(map(node, shingles(line))), np.int64) for line in batch.column("line").to_pylist()]
+        for batch in pieces(batches, "line", SMALL_PIECE_BYTES):
+            own = [shingle_hashes(line) for line in batch.column("line").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "elements"])
 
-    sets = texts.mapInArrow(to_sets, "node long, elements array<long>")
-    found = linked_components(groups, verify, sets, round(100 * SIMILARITY))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(to_sets, "node long, elements array<long>")
+
+    found = linked_components(groups, verify, sets_of, round(100 * SIMILARITY))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, n_bytes=SMALL_PIECE_BYTES):
             triples = [(d, k, node(line)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for k, line in line_nodes(t)]
             columns = list(zip(*triples)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "number", "node"])
@@ -225,11 +239,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, the repeated lines gone from the text, and ``__removed``, how many."""
-    removed = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
+    """The input's rows and columns, the repeated lines gone from the text, and last ``__removed``, how many.
+
+    Where the input has a column of that name, the added one has underscores behind its name. Rows with a NULL id and
+    NULL texts stay as they are; each of several rows with one id loses the lines whose numbers were found for the id;
+    an empty table gives no rows.
+    """
+    id_name, gone_name, removed_name = fresh(docs.columns, "__id", "__gone", "__removed")
+    removed = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias(id_name), F.col("removed").alias(gone_name))
+    gone = F.col(gone_name)
     parts = F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
-    kept = F.filter(parts, lambda x: ~F.array_contains(F.col("__gone"), x["k"]))
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    joined = docs.join(removed, F.col(id_col) == F.col("__id"), "left")
+    kept = F.filter(parts, lambda x: ~F.array_contains(gone, x["k"]))
+    text = F.when(gone.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    joined = docs.join(removed, F.col(f"`{id_col}`") == F.col(id_name), "left")
     others = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+    return joined.select(*others, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed_name))
