@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import keyed, pieces
+from transit_spark.llm.common import SMALL_PIECE_BYTES, keyed, mix64, pieces
 
 #: Bounds of the training sample, per language: so many documents, so many characters of each and of all together.
 SAMPLE_DOCS = 96
@@ -24,7 +24,9 @@ SAMPLE_DOC_CHARS = 2_000
 SAMPLE_CHARS = 30_000
 #: Parsing starts anew at every so many characters, so that long texts are parsed side by side.
 STRETCH = 512
+#: So many letters of the sample have a code of their own; further ones share ``SHARED_CODES`` by a hash.
 LETTERS = 60
+SHARED_CODES = 64
 UNDETERMINED = "und"
 
 
@@ -91,12 +93,14 @@ class CrossParser:
                 c = c.lower()[0]
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        code = {c: k + 2 for k, c in enumerate(known)}  # 0: no letter, 1: another letter
+        known = sorted(counts, key=lambda c: (-counts[c], c))
+        code = {c: k + 2 for k, c in enumerate(known[:LETTERS])}  # 0: no letter, 1: a letter that no sample has
+        shared = mix64(np.array([ord(c) for c in known[LETTERS:]], np.uint64)) % np.uint64(SHARED_CODES)
+        code.update(zip(known[LETTERS:], (LETTERS + 2 + shared.astype(int)).tolist()))
         self.codes = np.fromiter(
             (code.get(chr(p).lower()[0], 1) if chr(p).isalpha() else 0 for p in range(0x110000)), np.uint8, 0x110000
         )
-        self.pad = len(known) + 2
+        self.pad = max(code.values(), default=1) + 1
         width, tables, at, self.weights = self.pad + 1, [], 0, []
         self.start = []
         for lang in self.langs:
@@ -199,7 +203,7 @@ def identified_rows(docs: DataFrame, sample: dict[str, str], text_col: str = "te
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, SMALL_PIECE_BYTES):
             langs, scores = cross_parser(sample).predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import keyed, word_count
+from transit_spark.llm.common import fresh, keyed, word_count
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -114,7 +114,8 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = WEIGHTS, re
     Patterns and sources are collected (one row each: the flow's nodes); documents never are. A pattern's order is
     cut into stretches of hash values, so a source with most of the rows is numbered by many tasks.
     """
-    rows = keyed(docs.withColumn("__sources", sources), id_col, text_col, sources="__sources").select(
+    extra = fresh(docs.columns, "__sources")[0]
+    rows = keyed(docs.withColumn(extra, sources), id_col, text_col, sources=extra).select(
         "doc_id", F.array_sort(F.array_distinct("sources")).alias("sources"), word_count(F.col("text")).alias("size")
     )
     patterns = rows.groupBy("sources").agg(F.sum("size").alias("size")).where("size(sources) > 0").collect()
@@ -155,11 +156,19 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = WEIGHTS, re
 
 
 def mixed_rows(docs: DataFrame, source_col: str = "source", weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of the mix with all their columns, each as often as the mix takes it; a part of half a text or more counts as a whole."""
-    taken = mix(docs, F.array(F.col(source_col)), weights, repeats, id_col=id_col, text_col=text_col)
-    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.expr("max(int(floor((taken + size / 2) / size)))").alias("__copies"))
+    """The documents of the mix with all their columns, each as often as the mix takes it.
+
+    A part of half a text or more counts as a whole. Rows without a word are taken never. Of rows with equal or NULL
+    ids each is repeated as often as the one of them that the mix takes most often.
+    """
+    id_name, copies_name, nth_name = fresh(docs.columns, "__id", "__copies", "__nth")
+    taken = mix(docs, F.array(F.col(f"`{source_col}`")), weights, repeats, id_col=id_col, text_col=text_col)
+    most = F.expr("max(int(floor((taken + size / 2) / size)))").alias(copies_name)
+    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(id_name)).agg(most)
+    worded = word_count(F.col(f"`{text_col}`")) > 0
     return (
-        docs.join(copies.where("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
-        .withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        docs.where(worded)
+        .join(copies.where(F.col(copies_name) > 0), F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)))
+        .withColumn(nth_name, F.explode(F.sequence(F.lit(1), F.col(copies_name))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -81,27 +81,32 @@ from judged"""
 
 @REGISTRY.query("op1_run_length_index")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that a 100-byte string met earlier covers, and the hash of what is left."""
     return run_index.repeated_strings(documents(spark, sf_dir)).drop("kept")
 
 
 @REGISTRY.query("op2_partenum_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the 4-word shingle sets, and the component over links of 85 hundredths or more."""
     return partenum.near_duplicates(documents(spark, sf_dir))
 
 
 @REGISTRY.query("op3_packed_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, from the files they were written to."""
     files = token_files.write_token_files(documents(spark, sf_dir), folder(spark, "token-ids"), vocabulary("word_bpe_49k.json"))
     return token_files.read_token_files(files)
 
 
 @REGISTRY.query("op4_last_token_table")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as hashes."""
     return piece_table.encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 @REGISTRY.query("op5_flow_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, each belonging to its one source."""
     own = F.col("taken_by")[0]
     return mixing.mix(documents(spark, sf_dir), F.array("source")).select(
         "doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken"
@@ -110,12 +115,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op6_small_world_graphs")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9 or more."""
     ship_code(spark)
     return small_world.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 @REGISTRY.query("op7_quality_rules", oracle=_quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every text, the base rules and the verdict of the threshold table."""
     rows = quality.quality_rules(documents(spark, sf_dir))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -124,6 +131,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op8_cross_parsing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from rows that are not held out."""
     docs = documents(spark, sf_dir)
     found = language.identify(docs, language.labelled_sample(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -131,18 +139,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op9_fuzzy_lines")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Lines kept and removed of every document, and the hash of the kept text."""
+    found = lines.dedup_lines(documents(spark, sf_dir))
     size = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    return lines.dedup_lines(docs).select(
+    return found.select(
         "doc_id",
         size.alias("n_lines_kept"),
-        F.col("__removed").alias("n_lines_removed"),
+        F.col(found.columns[-1]).alias("n_lines_removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
 @REGISTRY.query("op10_virtual_slots")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document by a slot map that was rebalanced to near equal bytes."""
     rows = sharding.slotted(documents(spark, sf_dir))
     loads = stage(sharding.slot_loads(rows))
     maps = folder(spark, "slot-map")
