@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
 from transit_spark.llm import language, lines, mixing, partenum, piece_table
-from transit_spark.llm.common import documents, ship_code
+from transit_spark.llm.common import documents, fresh, ship_code
 from transit_spark.llm.queries import vocabulary
 from transit_spark.session import checkpoint_root
 
@@ -30,17 +30,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; ``n_chars`` follows; a document left without a word goes."""
     ship_code(spark)
-    changed = F.col("__removed") > 0
-    kept = lines.dedup_lines(docs).where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__removed")
+    found = lines.dedup_lines(docs)
+    changed = F.col(found.columns[-1]) > 0
+    kept = found.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(found.columns[-1])
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike in 0.8 or more of their five-word shingles keeps the one with the smallest id."""
     ship_code(spark)
     found = partenum.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    name = fresh(docs.columns, "__id")[0]
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
