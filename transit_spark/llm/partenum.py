@@ -7,9 +7,9 @@ one of which is free of differences. So linked sets always share a signature, an
 
 A signature without elements says nothing. Where there are few parts, it is replaced by itself combined with all
 signatures of a second, independent dealing, which linked sets share as well. Where there are many, the domain is dealt
-into ``SPARE_PARTS`` more parts than needed: linked sets then agree in one part more than that, so a set with at most so
-many signatures without elements may leave those out, and still shares another one. Only sets with more of them pay for
-the combined ones. So no link is lost. Signatures of near copies spread over all buckets, since each set has many.
+into some spare parts more than needed, a number that follows from the band: linked sets then agree in one part more than
+that, so a set with at most so many signatures without elements may leave those out, and still shares another one. Only
+sets with more of them pay for the combined ones. So no link is lost. Signatures of near copies spread over all buckets, since each set has many.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from transit_spark.session import stage
 BUCKET_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 CELLS = 3
-#: From this number of parts on, ``SPARE_PARTS`` more are dealt, so that signatures without elements can be left out.
+#: From this number of parts on, spare ones are dealt, so that signatures without elements can be left out: so many, and
+#: one for every ``SPARE_EVERY`` parts, since the share of such signatures is the same for sets of all sizes.
 MANY_PARTS = 20
-SPARE_PARTS = 4
+SPARE_PARTS, SPARE_EVERY = 4, 8
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -91,13 +92,14 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             differ = np.where(below, top_own * 2 * (100 - percent) // (100 + percent), differ)
         parts = np.maximum(1, (differ + 2) // 2)
         many = parts >= MANY_PARTS
-        parts = parts + SPARE_PARTS * many
+        spare = np.where(many, SPARE_PARTS + parts // SPARE_EVERY, 0)
+        parts = parts + spare
         use = live[owner]
         s, o, light = _enumerated(elements[use], owner[use], len(sets), np.where(live, parts, 0), differ, joint, 1)
         keys.append(s[~light])
         owners.append(o[~light])
         without = np.bincount(o[light], minlength=len(sets))
-        light &= ~(many & (without <= SPARE_PARTS))[o]
+        light &= ~(many & (without <= spare))[o]
         if light.any():
             weak_s, weak_o = s[light], o[light]
             again = np.zeros(len(sets), bool)
