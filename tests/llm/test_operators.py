@@ -291,7 +291,7 @@ def test_groups_with_many_parts_lose_no_link(spark):
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b", "members")))]
     groups = spark.createDataFrame(rows, links.GROUPS)
     sets = spark.createDataFrame([(n, list(range(n, n + 20))) for n in nodes.tolist()], "node long, elements array<long>")
-    got = dict(map(tuple, links.linked_components(groups, lambda pairs: pairs.where("b - a = 1"), sets, 85).collect()))
+    got = dict(map(tuple, links.linked_components(groups, lambda pairs: pairs.where("b - a = 1"), lambda nodes: sets.join(nodes, "node"), 85).collect()))
     assert got == {int(n): int(n) // 100 * 100 for n in nodes if n % 100}
 
 
@@ -303,7 +303,12 @@ def test_tiles_find_the_links_across_labels(spark, monkeypatch):
     sets = {n: sorted({int(x) for x in np.r_[rng.choice(base, 26, replace=False), rng.integers(0, 1 << 62, n % 4)]}) for n in range(60)}
     rows = [(key, n, n // 3 * 3, 0) for key in (1, 2) for n in sets if n % 2 < key]
     rows = spark.createDataFrame([(k, n, c, sum(r[0] == k for r in rows)) for k, n, c, _ in rows], "key long, node long, c long, n long")
-    got = {tuple(r) for r in links._links_across(rows, spark.createDataFrame(list(sets.items()), "node long, elements array<long>"), 80).collect()}
+    held = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
+
+    def sets_of(nodes):
+        return held.join(nodes, "node")
+
+    got = {tuple(r) for r in links._links_across(rows, sets_of, 80).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and a // 3 != b // 3 and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
     assert want and got == want
-    assert links._links_across(rows.where("false"), spark.createDataFrame([], "node long, elements array<long>"), 80).count() == 0
+    assert links._links_across(rows.where("false"), sets_of, 80).count() == 0
