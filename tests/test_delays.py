@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from transit_spark import schemas
+from transit_spark.catalog import delay_queries
 from transit_spark.fixed_values import BARE_STOP_DEFAULTS
 from transit_spark.operators.compare import actual_delays, prediction_vs_actual
 from transit_spark.operators.history import add_maintenance_flag, add_rolling_delay
@@ -139,6 +140,15 @@ def test_nearest_station_keeps_all_matches(spark, rows):
     assert rows(match_coverage(joined, "station_code")) == [(4, 3, 1, 75.0)]
 
 
+def test_query_keeps_every_station_of_a_cell(spark, rows, tmp_path):
+    points = [(0, [0.101, 0.202]), (2, [0.099, 0.198]), (1, [0.1, 0.2]), (3, [0.9, 0.9]), (5, None)]
+    spark.createDataFrame(points, "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = rows(delay_queries.nearest_by_rounding(spark, str(tmp_path)), "vec_id", "station_code", "station_name")
+    assert got == [(1, "S0", "Station S0"), (1, "S2", "Station S2"), (3, None, None), (5, None, None)]
+    counts = rows(delay_queries.match_coverage_query(spark, str(tmp_path)), "total_rows", "matched_rows", "unmatched_rows")
+    assert counts == [(3, 1, 2)]
+
+
 def test_coverage_of_listed_stations(spark, rows):
     weather = weather_frame(spark, [("CBE", d(1), 1, 0.0, 1), ("CBE", d(3), 1, 0.0, 1), ("XX", d(1), 1, 0.0, 1)])
     assert rows(station_coverage(weather)) == [("CBE", 2, d(1), d(3))]
