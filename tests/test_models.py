@@ -2,14 +2,25 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from transit_spark import schemas
 from transit_spark.models import candidates as cand
 from transit_spark.models.delays import delay_training_set, evaluate_delay_model, fit_delay_model
-from transit_spark.models.features import add_codes, assembled, fit_categories, fit_features, hashed_code, one_hot_positions
+from transit_spark.models.features import (
+    add_codes,
+    assembled,
+    fit_categories,
+    fit_features,
+    hashed_code,
+    one_hot_positions,
+    score_features,
+)
 from transit_spark.models.store import METRIC_LOG, LOG_KEY, ModelStore, ScoringModel, run_name
-from transit_spark.operators.encode import bounded_rows, hash_split
+from transit_spark.operators.encode import bounded_rows, hash_bucket, hash_split
 from transit_spark.operators.metrics import area_under_roc
 from transit_spark.operators.routes import global_stats, out_of_fold_stats, route_stats
 from transit_spark.plans.bookings import request_inputs, score_bookings, silver_from_path, training_set
@@ -99,6 +110,34 @@ def test_centering_changes_no_prediction(silver):
     assert max(abs(p[k] - q[k]) for k in p) < 1e-6
 
 
+def test_forest_scores_dense_vectors_alike(spark):
+    rows = spark.range(300).select(
+        (F.col("id") % 2).cast("double").alias("label"), F.array(F.col("id") % 7 * 1.0, F.lit(0.0), F.col("id") % 3 * 1.0).alias("a")
+    )
+    data = stage(rows.select("label", array_to_vector("a").alias("features")))
+    model = RandomForestClassifier(numTrees=5, seed=1).fit(data)
+    columns = ("label", "prediction", "rawPrediction", "probability")
+    scored, plain = score_features(model, data), model.transform(data)
+    assert scored.columns == plain.columns
+    assert scored.select(*columns).exceptAll(plain.select(*columns)).count() == 0
+    assert scored.count() == 300
+    metrics = cand._classification_metrics(model, data)
+    assert metrics["accuracy"] == MulticlassClassificationEvaluator(metricName="accuracy").evaluate(plain)
+    assert metrics["f1_score"] == MulticlassClassificationEvaluator(metricName="f1").evaluate(plain)
+    assert metrics["auc_roc"] == pytest.approx(BinaryClassificationEvaluator().evaluate(plain), abs=1e-12)
+
+
+def test_split_by_a_stored_bucket(silver):
+    """Each pass reads the bucket; none computes it from the key again."""
+    with_bucket = stage(silver.withColumn("b", hash_bucket("PNR")))
+    for got, want in zip(
+        training_set(with_bucket, fit_on="out_of_fold", bucket="b"), training_set(silver, fit_on="out_of_fold"), strict=True
+    ):
+        assert got.columns == want.columns
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+        assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_full_grids_have_the_stated_sizes():
     assert [len(c.grid) for c in cand.confirmation_candidates()] == [4, 4, 2]
     assert len(cand.fare_candidate().grid) == 8
