@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import shingle_set
-from transit_spark.llm import language, lines, mixing, partenum
+from transit_spark.llm import common, language, lines, mixing, partenum
 from transit_spark.llm.common import fresh
 
 
@@ -124,3 +124,18 @@ def test_scripts_of_many_letters():
     texts = [said(one, 30), said(two, 30), said(one, 900), said(two, 900), "abc", "12 !"]
     langs, scores = parser.predict(texts)
     assert langs[:4] == ["one", "two", "one", "two"] and langs[5] == "und" and min(scores[:4]) > 0
+
+
+def test_a_worker_keeps_one_table_at_a_time():
+    made = []
+
+    def make(name):
+        made.append(name)
+        return [name]
+
+    common._kept.clear()
+    one = common.kept("language", "x", lambda: make("x"))
+    assert common.kept("language", "x", lambda: make("x")) is one and made == ["x"]
+    common.kept("pieces", "y", lambda: make("y"))
+    assert list(common._kept) == [("pieces", "y")]  # what another operator left is gone
+    common._kept.clear()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from transit_spark.session import stage
 
+T = TypeVar("T")
+
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java class.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = f"[^{SPACE_CLASS}]+"
@@ -101,6 +106,33 @@ def pack(buckets: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[
         yield (int(sorted_buckets[a]), *[c[a:b].tobytes() for c in columns])
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(kind: str, key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made once: one such table at a time.
+
+    Spark hands workers on to whatever runs next, so the tables of an operator go, and their memory with them, when
+    another operator keeps its own.
+    """
+    if (kind, key) not in _kept:
+        if _kept:
+            _kept.clear()
+            release()
+        _kept[kind, key] = make()
+    return _kept[kind, key]
+
+
+def release() -> None:
+    """Gives free memory back to the system, which the allocators otherwise hold as long as the process lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64: a bijection of 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -150,6 +182,13 @@ def components(
         many = low.where("n > 1").limit(1)
         chained = small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
         pairs = small
+        tidy(edges)
         if not many.unionByName(chained.select(F.col("u"), F.col("v").alias("m"), F.lit(2).cast("long").alias("n"))).take(1):
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def tidy(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of steps that are over: it does once their plans are collected as garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

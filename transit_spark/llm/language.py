@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import SMALL_PIECE_BYTES, keyed, mix64, pieces
+from transit_spark.llm.common import SMALL_PIECE_BYTES, kept, keyed, mix64, pieces
 
 #: Bounds of the training sample, per language: so many documents, so many characters of each and of all together.
 SAMPLE_DOCS = 96
@@ -170,16 +170,9 @@ class CrossParser:
         return langs, scores
 
 
-_parsers: dict[int, tuple[dict, CrossParser]] = {}
-
-
 def cross_parser(sample: dict[str, str]) -> CrossParser:
     """One per Python worker and sample."""
-    key = hash(tuple(sample.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = (sample, CrossParser(sample))
-    return _parsers[key][1]
+    return kept("language", tuple(sample.items()), lambda: CrossParser(sample))
 
 
 def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

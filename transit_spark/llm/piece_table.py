@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from transit_spark.llm.common import keyed, pieces
+from transit_spark.llm.common import kept, keyed, pieces
 
 CACHE_WORDS = 400_000
 MARK = "▁"
@@ -200,14 +200,9 @@ class PieceTable:
         return (data[1:] if data.startswith(b" ") else data).decode(errors="replace")
 
 
-_tables: dict[str, PieceTable] = {}
-
-
 def piece_table(path: str) -> PieceTable:
     """One per Python worker, so that its cache lasts over tasks."""
-    if path not in _tables:
-        _tables[path] = PieceTable(path)
-    return _tables[path]
+    return kept("pieces", path, lambda: PieceTable(path))
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
