@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import shingle_set
-from transit_spark.llm import common, language, lines, mixing, partenum
+from transit_spark.llm import common, language, lines, links, mixing, partenum
 from transit_spark.llm.common import fresh
 
 
@@ -139,3 +139,12 @@ def test_a_worker_keeps_one_table_at_a_time():
     common.kept("pieces", "y", lambda: make("y"))
     assert list(common._kept) == [("pieces", "y")]  # what another operator left is gone
     common._kept.clear()
+
+
+def test_components_grown_by_links_equal_components_of_all_links(spark):
+    first = [(1, 2), (2, 3), (10, 11), (20, 21)]
+    more = [(3, 11), (0, 20), (30, 31), (2, 1), (40, 40)]
+    known = common.components(spark.createDataFrame(first, "a long, b long"))
+    grown = links._grown(known, spark.createDataFrame(more, "a long, b long"))
+    want = common.components(spark.createDataFrame(first + more, "a long, b long"))
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, want.collect()))

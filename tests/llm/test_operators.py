@@ -312,3 +312,30 @@ def test_tiles_find_the_links_across_labels(spark, monkeypatch):
     want = {(a, b) for a in sets for b in sets if a < b and a // 3 != b // 3 and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
     assert want and got == want
     assert links._links_across(rows.where("false"), sets_of, 80).count() == 0
+
+
+def test_shingles_of_two_lines_packed():
+    rng = np.random.default_rng(5)
+    kinds = ["abc é", "abc ☃日本", "".join(chr(0x4E00 + k) for k in range(600)), "ab\U0001f600\ud83d"[:3]]
+    for k in range(400):
+        letters = kinds[k % 4]
+        x = "".join(rng.choice(list(letters), rng.integers(1, 300)))
+        at = int(rng.integers(0, len(x)))
+        y = x[:at] + letters[0] + x[at + 1 :] if k % 3 else "".join(rng.choice(list(letters), rng.integers(1, 300)))
+        a, b = lines.shingles(x), lines.shingles(y)
+        sizes = lines.common_shingles(x, y)
+        assert sizes[:2] == (len(a), len(b)) and sizes[2] in (len(a & b), 0)
+        assert (sizes[2] >= 0.8 * (sizes[0] + sizes[1] - sizes[2])) == (len(a & b) >= 0.8 * len(a | b))
+
+
+def test_lines_unlike_any_other_are_not_shuffled_again(spark):
+    text = "The quick brown fox jumps over the lazy dog near the old river bank at noon"
+    rows = [(k, f"{'abcdefghijkl'[k % 12] * 20} {k * 7919} alone{k}\nsame\n{text} {k % 2}\nsame", "en", "s") for k in range(40)]
+    rows += [(3, "same\nother words", "en", "s"), (7, rows[7][1], "en", "s"), (-5, "x\nsame", "en", "s")]
+    df = frame(spark, rows)
+    found = spark.createDataFrame([(lines.node(f"{text} 1"), lines.node(f"{text} 0"))], "node long, component long")
+    places = lines.line_places(df.select("doc_id", "text"), found, 16)
+    own = places.where("c is not null").collect()
+    assert sorted((r.doc_id, r.number) for r in own) == [(0, 2), (1, 2)] and {r.c for r in own} == {lines.node(f"{text} 0")}
+    gone = {(r.doc_id, r.number) for r in places.where("c is null").collect()}
+    assert gone == {(k, n) for k in range(40) for n in (1, 3)} | {(k, 2) for k in range(2, 40)} | {(3, 0)}

@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import SMALL_PIECE_BYTES, bucket_count, fresh, keyed, mix64, pack, pieces, text_bytes
+from transit_spark.llm.common import SMALL_PIECE_BYTES, bucket_count, fresh, keyed, mix64, pack, pieces, text_bytes, tidy
 from transit_spark.llm.links import GROUPS, linked_components, split_groups
 from transit_spark.session import stage
 
@@ -24,7 +24,8 @@ SIMILARITY = 0.8
 #: Lines as similar as 0.8 meet in a band with a probability of 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 ROWS, BANDS = 4, 12
 BUCKET_BYTES = 4 << 20
-PART_CHARS = 1 << 20
+#: The arrays of a signature stay in a processor's cache.
+PART_CHARS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -186,16 +187,103 @@ def lines_of(rows: DataFrame, wanted: DataFrame, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").cogroup(wishes.groupBy("bucket")).applyInArrow(pick, "node long, line string")
 
 
+def packed_shingles(x: str, y: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct shingles of both lines, each packed into 64 bits without loss; None where they don't fit.
+
+    A shingle is as many characters as an integer has bytes, so one byte for a character is needed: its code point, or
+    its place among the characters of the two lines.
+    """
+    if min(len(x), len(y)) < SHINGLE:
+        return None
+    try:
+        own = x.encode("latin-1"), y.encode("latin-1")
+    except UnicodeEncodeError:
+        letters, points = np.unique(np.frombuffer((x + y).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        if len(letters) > 256:
+            return None
+        both = points.astype(np.uint8).tobytes()
+        own = both[: len(x)], both[len(x) :]
+    found = []
+    for t in own:
+        values = np.sort(np.ndarray(len(t) - SHINGLE + 1, np.uint64, t, strides=(1,)))
+        new = values[1:] != values[:-1]
+        found.append(values if new.all() else np.concatenate([values[:1], values[1:][new]]))
+    return found[0], found[1]
+
+
+def common_shingles(x: str, y: str) -> tuple[int, int, int]:
+    """Distinct shingles of one line, of the other, and of both; the last is 0 where the sizes alone rule a link out."""
+    packed = packed_shingles(x, y)
+    if packed is None:
+        a, b = shingles(x), shingles(y)
+        return len(a), len(b), len(a & b)
+    a, b = packed
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return len(a), len(b), 0
+    both = np.sort(np.concatenate([a, b]))
+    return len(a), len(b), int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            a, b = shingles(x), shingles(y)
-            common = len(a & b)
-            good.append(common >= SIMILARITY * (len(a) + len(b) - common))
+            a, b, common = common_shingles(x, y)
+            good.append(common >= SIMILARITY * (a + b - common))
         yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
+def _firsts(nodes: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of equal lines, by document and number, and of those that aren't at its place."""
+    order = np.lexsort((numbers, ids, nodes))
+    first = np.ones(len(order), bool)
+    first[1:] = nodes[order][1:] != nodes[order][:-1]
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    later = (ids[order] != ids[lead]) | (numbers[order] != numbers[lead])
+    return order[first], order[later]
+
+
+def line_places(rows: DataFrame, found: DataFrame, n_buckets: int) -> DataFrame:
+    """(doc_id, number, c): lines that equal an earlier one, with c NULL, and the first of each node of a component c.
+
+    Of equal lines only the first can stay, so a piece sends one of them on by its node, packed, and a bucket hands on
+    one. Lines that are like no other end here.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, n_bytes=SMALL_PIECE_BYTES):
+            triples = [(node(line), d, k) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for k, line in line_nodes(t)]
+            if not triples:
+                continue
+            nodes, ids, numbers = (np.array(x, np.int64) for x in zip(*triples))
+            first, later = _firsts(nodes, ids, numbers)
+            own = np.r_[first, later]
+            again = np.arange(len(own)) >= len(first)
+            bucket = np.where(again, ids[own], nodes[own]) % n_buckets
+            packed = list(zip(*pack(bucket, n_buckets, nodes[own], ids[own], numbers[own].astype(np.int32), again)))
+            yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int32()), *[pa.array(p, pa.binary()) for p in packed[1:]]], ["bucket", "nodes", "ids", "numbers", "again"])
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"nodes": np.int64, "ids": np.int64, "numbers": np.int32, "again": np.bool_}
+        nodes, ids, numbers, again = (np.frombuffer(b"".join(left.column(c).to_pylist()), kind) for c, kind in kinds.items())
+        order = np.argsort(right.column("node").to_numpy())
+        known, labels = (right.column(c).to_numpy()[order] for c in ("node", "component"))
+        fresh = np.flatnonzero(~again)
+        first, later = (fresh[x] for x in _firsts(nodes[fresh], ids[fresh], numbers[fresh]))
+        at = np.minimum(np.searchsorted(known, nodes[first]), max(0, len(known) - 1))
+        inside = known[at] == nodes[first] if len(known) else np.zeros(len(first), bool)
+        c = pa.array(labels[at[inside]] if len(known) else [], pa.int64())
+        gone = np.r_[later, np.flatnonzero(again)]
+        own = np.r_[first[inside], gone]
+        columns = [pa.array(ids[own]), pa.array(numbers[own]), pa.concat_arrays([c, pa.nulls(len(gone), pa.int64())])]
+        return pa.table(dict(zip(("doc_id", "number", "c"), columns)))
+
+    sent = rows.mapInArrow(number, "bucket int, nodes binary, ids binary, numbers binary, again binary")
+    members = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    members = members.withColumn("bucket", F.pmod("node", F.lit(n_buckets)).cast("int"))
+    return stage(sent.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(settle, "doc_id long, number int, c long"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, removed): the numbers of a document's lines, from 0, that repeat an earlier one; only documents with any.
 
@@ -207,8 +295,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col).where("doc_id is not null")
     n_buckets = bucket_count(text_bytes(rows), BUCKET_BYTES, 64)
     groups = candidate_groups(rows, n_buckets)
+    tidy(docs)
     involved = groups.where("kind = 'pair'").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = stage(lines_of(rows, involved, n_buckets))
+    tidy(docs)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("line").alias("x"))
@@ -225,16 +315,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = linked_components(groups, verify, sets_of, round(100 * SIMILARITY))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, n_bytes=SMALL_PIECE_BYTES):
-            triples = [(d, k, node(line)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for k, line in line_nodes(t)]
-            columns = list(zip(*triples)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "number", "node"])
-
-    lines = rows.mapInArrow(number, "doc_id long, number int, node long")
-    lines = stage(lines.join(found, "node", "left").select("doc_id", "number", F.coalesce("component", "node").alias("c")))
-    keepers = lines.groupBy("c").agg(F.min(F.struct("doc_id", "number")).alias("k"), F.count("*").alias("n")).where("n > 1")
-    gone = lines.join(keepers, "c").where("struct(doc_id, number) <> k")
+    places = line_places(rows, found, n_buckets)
+    own = places.where("c is not null")
+    keepers = own.groupBy("c").agg(F.min(F.struct("doc_id", "number")).alias("k"))
+    gone = own.join(keepers, "c").where("struct(doc_id, number) <> k").select("doc_id", "number")
+    gone = gone.unionByName(places.where("c is null").select("doc_id", "number"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("removed"))
 
 

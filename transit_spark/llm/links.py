@@ -11,7 +11,6 @@ two blocks that share a group meet once, as one tile. A task compares the sets o
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import components
+from transit_spark.llm.common import components, tidy
 from transit_spark.session import stage
 
 #: Groups up to this size give all their pairs at once; larger ones go by star, then across components.
@@ -192,19 +191,14 @@ def linked_components(
     rows = stage(large.mapInArrow(_unpack, "key long, node long"))
     n_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
     tested = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    near = stage(verify(tested))
+    known = components(verify(tested))
     turn = 0
     while True:
-        known = components(near)
-
-        def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-            found = known.select(F.col("node").alias(node), F.col("component").alias(label))
-            return df.join(found, node, "left").withColumn(label, F.coalesce(label, node))
-
+        tidy(groups)
         # what may still join components: pairs across them, groups with several of them
-        apart = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+        apart = _labelled(_labelled(pairs.select("a", "b"), known, "a", "ca"), known, "b", "cb").where("ca <> cb")
         pairs = stage(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        marked = stage(labelled(rows.select("key", "node"), "node", "c"))
+        marked = stage(_labelled(rows.select("key", "node"), known, "node", "c"))
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("c").alias("hub_c")))
         sizes = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), hub.alias("hub"))
         rows = stage(marked.join(sizes.where("low < high"), "key").select("key", "node", "c", "n", "low", "hub.hub", "hub.hub_c"))
@@ -217,14 +211,27 @@ def linked_components(
         one = F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("t")
         now = stage(tests.groupBy("of").agg(one).select("t.a", "t.b").distinct().join(tested, ["a", "b"], "left_anti"))
         tested = stage(tested.unionByName(now))
-        near = stage(near.unionByName(verify(now)))
-        _tidy(groups)
+        known = _grown(known, verify(now))
     # groups with several components: the members that differ in theirs, tile by tile
-    links = near.unionByName(verify(pairs)).unionByName(_links_across(rows.select("key", "node", "c", "n"), sets_of, percent))
-    return components(links)
+    tidy(groups)
+    across = _links_across(rows.select("key", "node", "c", "n"), sets_of, percent)
+    return _grown(known, verify(pairs).unionByName(across))
+
 
+def _labelled(df: DataFrame, known: DataFrame, node: str, label: str) -> DataFrame:
+    """The rows with the component of a node: itself where none is known."""
+    found = known.select(F.col("node").alias(node), F.col("component").alias(label))
+    return df.join(found, node, "left").withColumn(label, F.coalesce(label, node))
 
-def _tidy(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of rounds that are over: it does once their plans are collected as garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+
+def _grown(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links: only components that a link joins are joined, not their nodes once more.
+
+    ``known`` has no row for the smallest node of a component, so what is joined adds a row for those that no longer
+    are the smallest and changes the component of the rows below them.
+    """
+    ends = _labelled(_labelled(links.select("a", "b"), known, "a", "ca"), known, "b", "cb")
+    joined = components(ends, "ca", "cb")
+    now = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = known.join(now, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return stage(moved.unionByName(joined))
