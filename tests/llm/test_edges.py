@@ -148,3 +148,50 @@ def test_components_grown_by_links_equal_components_of_all_links(spark):
     grown = links._grown(known, spark.createDataFrame(more, "a long, b long"))
     want = common.components(spark.createDataFrame(first + more, "a long, b long"))
     assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, want.collect()))
+
+
+def shared_weight(keys, owner, a, b):
+    """What the signatures that two sets share count for."""
+    both = np.intersect1d(keys[owner == a], keys[owner == b])
+    return int(np.where(both & np.uint64(1), partenum.SHARED, 1).sum())
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("size", [30, 75, 118, 150, 240, 261, 400, 900, 3000])
+def test_linked_sets_share_as_many_signatures_as_pairs_must(percent, size):
+    rng = np.random.default_rng(size + 1)
+    for _ in range(40):
+        one, other = pair_of_sets(rng, size, (100 - percent) * size // percent)
+        keys, owner = partenum.signatures([one, other], percent)
+        assert shared_weight(keys, owner, 0, 1) >= partenum.SHARED
+
+
+def test_frequent_shingles_do_not_pair_all_their_documents():
+    """290 elements of their own and 8 that all have: pairs that share a signature are many, those to verify are few."""
+    rng = np.random.default_rng(5)
+    frequent = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    sets = [np.unique(np.r_[frequent, rng.integers(0, 1 << 63, 290, dtype=np.uint64)]) for _ in range(200)]
+    keys, owner = partenum.signatures(sets, 80)
+    weights = np.where(keys & np.uint64(1), partenum.SHARED, 1)
+    low = keys.astype(np.uint32)
+    found, listed = {}, set()
+    for k in range(64):
+        own = keys >> np.uint64(58) == k
+        for batch in links.split_groups(low[own], owner[own].astype(np.int64), weights[own]):
+            for kind, a, b, n, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == "pair":
+                    listed.add((a, b))
+                    found[a, b] = found.get((a, b), 0) + n
+    assert len(listed) > 200
+    assert sum(n >= partenum.SHARED for n in found.values()) < len(listed) / 4
+
+
+def test_workers_give_memory_back_and_drop_what_others_kept(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.trimmed(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+    partenum.word_hashes([b"one", b"two"])
+    assert ("words", 0) in common._kept
+    common.kept("pieces", "y", lambda: "y")
+    assert list(common._kept) == [("pieces", "y")]
+    common._kept.clear()

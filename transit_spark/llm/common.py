@@ -118,6 +118,7 @@ def kept(kind: str, key: Hashable, make: Callable[[], T]) -> T:
     if (kind, key) not in _kept:
         if _kept:
             _kept.clear()
+            gc.collect()
             release()
         _kept[kind, key] = make()
     return _kept[kind, key]
@@ -125,7 +126,6 @@ def kept(kind: str, key: Hashable, make: Callable[[], T]) -> T:
 
 def release() -> None:
     """Gives free memory back to the system, which the allocators otherwise hold as long as the process lives."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -133,6 +133,16 @@ def release() -> None:
         pass
 
 
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches, which gives free memory back to the system when a task is over: idle workers hold it else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64: a bijection of 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)

@@ -142,7 +142,7 @@ def candidate_groups(rows: DataFrame, n_buckets: int) -> DataFrame:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
         nodes = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         found = list(split_groups(keys, nodes))
-        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "members": pa.binary()}
+        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "members": pa.binary()}
         return pa.Table.from_batches(found) if found else pa.table({k: pa.array([], t) for k, t in empty.items()})
 
     packed = rows.select("text").mapInArrow(sign, "bucket int, keys binary, ids binary")

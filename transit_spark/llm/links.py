@@ -32,44 +32,62 @@ NODE_ELEMENTS = 64
 TASK_ELEMENTS = 1 << 20
 COLUMNS = 4096
 
-GROUPS = "kind string, a long, b long, members binary"
+#: Pairs and large groups, and ``n``, the weights of the keys that give them, summed.
+GROUPS = "kind string, a long, b long, n long, members binary"
 
 
-def split_groups(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def split_groups(keys: np.ndarray, nodes: np.ndarray, weights: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Groups of equal keys as rows of ``GROUPS``: distinct pairs (``pair``, a < b) and large groups (``group``).
 
-    Equal groups, which near copies make by the hundred, are given once.
+    Equal groups, which near copies make by the hundred, are given once. ``weights`` are those of the keys, 1 each by default.
     """
     order = np.lexsort((nodes, keys))
+    weights = np.ones(len(keys), np.int64) if weights is None else weights[order]
     keys, nodes = keys[order], nodes[order]
     fresh = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])][: len(keys)]
-    keys, nodes = keys[fresh], nodes[fresh]
+    keys, nodes, weights = keys[fresh], nodes[fresh], weights[fresh]
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     sizes = np.diff(np.r_[cuts, len(keys)])
-    pairs, large = [], {}
+    pairs, counts, large = [], [], {}
     for n in range(2, PAIRED + 1):
         own = cuts[sizes == n]
         for i in range(n):
             for j in range(i + 1, n):
                 pairs.append(np.stack([nodes[own + i], nodes[own + j]], axis=1))
+                counts.append(weights[own])
     for c, n in zip(cuts[sizes > PAIRED], sizes[sizes > PAIRED]):
         own = nodes[c : c + n]
-        large.setdefault((int(own[0]), int(n), own.tobytes()), None)
+        group = (int(own[0]), int(n), own.tobytes())
+        large[group] = large.get(group, 0) + int(weights[c])
         pairs.append(np.stack([np.repeat(own[:1], n - 1), own[1:]], axis=1))
+        counts.append(np.repeat(weights[c], n - 1))
     if pairs:
-        found = np.unique(np.concatenate(pairs), axis=0)
-        yield _rows("pair", found[:, 0], found[:, 1], None)
+        found, at = np.unique(np.concatenate(pairs), axis=0, return_inverse=True)
+        n = np.bincount(at.ravel(), np.concatenate(counts), len(found)).astype(np.int64)
+        yield _rows("pair", found[:, 0], found[:, 1], n, None)
     if large:
-        yield _rows("group", [g[0] for g in large], [g[1] for g in large], [g[2] for g in large])
+        yield _rows("group", [g[0] for g in large], [g[1] for g in large], list(large.values()), [g[2] for g in large])
 
 
-def _rows(kind: str, a, b, members) -> pa.RecordBatch:
+def _rows(kind: str, a, b, n, members) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(members or [None] * len(a), pa.binary())],
-        ["kind", "a", "b", "members"],
+        [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(members or [None] * len(a), pa.binary())],
+        ["kind", "a", "b", "n", "members"],
     )
 
 
+def sharing(groups: DataFrame, least: int) -> DataFrame:
+    """The rows of ``GROUPS`` without the pairs whose weights, summed over all buckets, are below ``least``; large groups stay."""
+    pairs = groups.where("kind = 'pair'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return stage(pairs.withColumn("members", F.lit(None).cast("binary")).unionByName(groups.where("kind = 'group'")))
+
+
+def members(groups: DataFrame) -> DataFrame:
+    """The nodes of all pairs and large groups, each once."""
+    large = groups.where("kind = 'group'").select(F.xxhash64("members").alias("key"), "members").mapInArrow(_unpack, "key long, node long")
+    return groups.where("kind = 'pair'").select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for group, data in zip(batch.column("key").to_pylist(), batch.column("members").to_pylist()):

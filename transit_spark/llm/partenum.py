@@ -7,9 +7,9 @@ one of which is free of differences. So linked sets always share a signature, an
 
 A signature without elements says nothing. Where there are few parts, it is replaced by itself combined with all
 signatures of a second, independent dealing, which linked sets share as well. Where there are many, the domain is dealt
-into some spare parts more than needed, a number that follows from the band: linked sets then agree in one part more than
-that, so a set with at most so many signatures without elements may leave those out, and still shares another one. Only
-sets with more of them pay for the combined ones. So no link is lost. Signatures of near copies spread over all buckets, since each set has many.
+into some spare parts more than needed, a number that follows from the band: linked sets then agree in ``SHARED`` parts
+more than that, so a set that loses at most so many parts by leaving out signatures without elements still shares as many
+others. Only sets with more of them pay for the combined ones. So no link is lost, and pairs that share fewer are none. Signatures of near copies spread over all buckets, since each set has many.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import bucket_count, keyed, mix64, pack, pieces, text_bytes
-from transit_spark.llm.links import GROUPS, linked_components, split_groups
+from transit_spark.llm.common import bucket_count, kept, keyed, mix64, pack, pieces, text_bytes, tidy, trimmed
+from transit_spark.llm.links import GROUPS, linked_components, members, sharing, split_groups
 from transit_spark.session import stage
 
 BUCKET_BYTES = 4 << 20
@@ -31,16 +31,18 @@ CACHE_WORDS = 400_000
 CELLS = 3
 #: From this number of parts on, spare ones are dealt, so that signatures without elements can be left out: so many, and
 #: one for every ``SPARE_EVERY`` parts, since the share of such signatures is the same for sets of all sizes.
-MANY_PARTS = 20
-SPARE_PARTS, SPARE_EVERY = 4, 8
-_word_hashes: dict[bytes, int] = {}
+MANY_PARTS = 8
+SPARE_PARTS, SPARE_EVERY = 4, 6
+#: Linked sets of many parts share so many signatures, as so many less one parts are dealt besides. Pairs with fewer, which
+#: frequent shingles make in a number that grows with the square of their documents, are not verified.
+SHARED = 3
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of every word, kept per worker for the frequent ones."""
     import xxhash
 
-    known = _word_hashes
+    known = kept("words", 0, dict)
     if len(known) > CACHE_WORDS:
         known.clear()
     for w in set(words):
@@ -71,13 +73,13 @@ def bands(most: int, percent: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) of all sets of a piece."""
+    """(signature, index of its set) of all sets of a piece; the last bit says that sharing it alone counts as ``SHARED``."""
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = bands(int(sizes.max(initial=1)), percent)
     band = np.searchsorted(starts, sizes, side="right") - 1
     owner = np.repeat(np.arange(len(sets)), sizes)
     elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    keys, owners = [], []
+    keys, owners, one = [], [], np.uint64(1)
     for shift in (0, 1):  # with the band above, and with the band below
         joint = band - shift
         live = (joint >= 0) & (sizes > 0)
@@ -93,31 +95,34 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         parts = np.maximum(1, (differ + 2) // 2)
         many = parts >= MANY_PARTS
         spare = np.where(many, SPARE_PARTS + parts // SPARE_EVERY, 0)
-        parts = parts + spare
+        parts = parts + spare + np.where(many, SHARED - 1, 0)
         use = live[owner]
-        s, o, light = _enumerated(elements[use], owner[use], len(sets), np.where(live, parts, 0), differ, joint, 1)
-        keys.append(s[~light])
+        s, o, light, lost = _enumerated(elements[use], owner[use], len(sets), np.where(live, parts, 0), differ, joint, 1)
+        keys.append(np.where(many[o], s & ~one, s | one)[~light])
         owners.append(o[~light])
-        without = np.bincount(o[light], minlength=len(sets))
-        light &= ~(many & (without <= spare))[o]
+        light &= ~(many & (lost <= spare))[o]
         if light.any():
             weak_s, weak_o = s[light], o[light]
             again = np.zeros(len(sets), bool)
             again[weak_o] = True
             use = again[owner]
-            s2, o2, _ = _enumerated(elements[use], owner[use], len(sets), np.where(again, parts, 0), differ, joint, 2)
+            s2, o2, _, _ = _enumerated(elements[use], owner[use], len(sets), np.where(again, parts, 0), differ, joint, 2)
             order = np.argsort(o2, kind="stable")
             s2, o2 = s2[order], o2[order]
             lo, hi = np.searchsorted(o2, weak_o), np.searchsorted(o2, weak_o, side="right")
             n = hi - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            keys.append(mix64(np.repeat(weak_s, n) ^ mix64(s2[at])))
+            keys.append(mix64(np.repeat(weak_s, n) ^ mix64(s2[at])) | one)
             owners.append(np.repeat(weak_o, n))
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def _enumerated(elements, owner, n_sets, parts, differ, joint, seed):
-    """Signatures of one dealing: (signature, set, whether it has no element)."""
+    """Signatures of one dealing: (signature, set, whether it has no element), and by set how many parts these may cost.
+
+    Linked sets may lose a part without elements, and of those with all elements in one cell half: each of these takes a
+    differing element, which then is not one of two that spoil another part.
+    """
     deal = mix64(elements ^ np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF))
     value = mix64(elements + np.uint64(seed))
     first = np.cumsum(parts) - parts
@@ -134,6 +139,8 @@ def _enumerated(elements, owner, n_sets, parts, differ, joint, seed):
     whole, filled = sums.sum(axis=1, dtype=np.uint64), counts.sum(axis=1)
     keys = [mix64(mix64(whole - sums[:, c] + np.uint64(c + 1)) ^ label) for c in range(CELLS)]
     empty = [filled == counts[:, c] for c in range(CELLS)]
+    n_empty = np.sum(empty, axis=0)
+    lost = np.bincount(own[n_empty == CELLS], minlength=n_sets) + (np.bincount(own[n_empty == 1], minlength=n_sets) + 1) // 2
     # sets that may not differ at all have one signature, of all elements
     exact = differ[own] == 0
     keys[0] = np.where(exact, mix64(mix64(whole) ^ label), keys[0])
@@ -143,6 +150,7 @@ def _enumerated(elements, owner, n_sets, parts, differ, joint, seed):
         np.concatenate([keys[0], *[k[some] for k in keys[1:]]]),
         np.concatenate([own, *[own[some]] * (CELLS - 1)]),
         np.concatenate([empty[0], *[e[some] for e in empty[1:]]]),
+        lost,
     )
 
 
@@ -165,7 +173,7 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             keys, owners = signatures([s for s, f in zip(sets, seen) if f], percent)
             owners = np.flatnonzero(seen)[owners]
             copies = np.flatnonzero(~seen)
-            same = mix64(np.array([lead[k] for k in copies], np.uint64) + mix64(ids[[lead[k] for k in copies]]))
+            same = mix64(np.array([lead[k] for k in copies], np.uint64) + mix64(ids[[lead[k] for k in copies]])) | np.uint64(1)
             keys = np.r_[keys, same, same].astype(np.uint64)
             owners = np.r_[owners, copies, [lead[k] for k in copies]].astype(np.int64)
             # one order by bucket and document: ids of a row are a few runs
@@ -184,12 +192,12 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         nodes = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         if table.column("bucket")[0].as_py() < 0:
             kinds = pa.array(["size"] * len(keys), pa.string())
-            return pa.table({"kind": kinds, "a": pa.array(nodes), "b": pa.array(keys.astype(np.int64)), "members": pa.nulls(len(keys), pa.binary())})
-        rows = list(split_groups(keys, nodes))
-        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "members": pa.binary()}
+            return pa.table({"kind": kinds, "a": pa.array(nodes), "b": pa.array(keys.astype(np.int64)), "n": pa.nulls(len(keys), pa.int64()), "members": pa.nulls(len(keys), pa.binary())})
+        rows = list(split_groups(keys, nodes, np.where(keys & 1, SHARED, 1)))
+        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "members": pa.binary()}
         return pa.Table.from_batches(rows) if rows else pa.table({k: pa.array([], t) for k, t in empty.items()})
 
-    packed = docs.mapInArrow(sign, "bucket int, keys binary, ids binary")
+    packed = docs.mapInArrow(trimmed(sign), "bucket int, keys binary, ids binary")
     return stage(packed.groupBy("bucket").applyInArrow(group, GROUPS))
 
 
@@ -203,14 +211,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     """
     rows = keyed(docs, id_col, text_col)
     groups = candidate_groups(rows, shingle, percent)
-    involved = groups.where("kind = 'pair'").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    tidy(docs)
+    candidates = sharing(groups, SHARED)
+    involved = members(candidates).withColumnRenamed("node", "doc_id")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "elements"])
 
-    sets = stage(rows.join(involved, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, elements array<long>"))
+    sets = stage(rows.join(involved, "doc_id", "left_semi").mapInArrow(trimmed(to_sets), "doc_id long, elements array<long>"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -227,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     def sets_of(nodes: DataFrame) -> DataFrame:
         return sets.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
 
-    found = linked_components(groups, verify, sets_of, percent).select(F.col("node").alias("doc_id"), "component")
+    found = linked_components(candidates, verify, sets_of, percent).select(F.col("node").alias("doc_id"), "component")
 
     # rows without a word were not sent on; an id that several rows have has several sizes, counted row by row
     sizes = groups.where("kind = 'size'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
@@ -236,6 +246,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     several = stage(several)
     single = own.select("doc_id").where("doc_id is not null").join(several, "doc_id", "left_anti").join(sizes, "doc_id", "left")
     loose = own.where("doc_id is null").unionByName(own.join(several, "doc_id", "left_semi"))
-    loose = loose.mapInArrow(count, "doc_id long, n_shingles long")
+    loose = loose.mapInArrow(trimmed(count), "doc_id long, n_shingles long")
     counted = single.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).unionByName(loose)
     return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
