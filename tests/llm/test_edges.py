@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import shingle_set
-from transit_spark.llm import common, language, lines, links, mixing, partenum
+from transit_spark.llm import common, language, lines, links, mixing, partenum, run_index
 from transit_spark.llm.common import fresh
 
 
@@ -195,3 +196,15 @@ def test_workers_give_memory_back_and_drop_what_others_kept(monkeypatch):
     common.kept("pieces", "y", lambda: "y")
     assert list(common._kept) == [("pieces", "y")]
     common._kept.clear()
+
+
+def test_an_index_takes_few_bytes_for_each_of_its_text():
+    rng = np.random.default_rng(1)
+    middle = bytes(rng.integers(97, 123, 90, np.uint8))
+    texts = [bytes(rng.integers(97, 123, 70, np.uint8)) + middle + bytes(rng.integers(97, 123, 20, np.uint8)) for _ in range(1500)]
+    tracemalloc.start()
+    place, first = run_index.RunIndex(texts).earliest()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(place) == 81 * len(texts) and (first <= place).all()
+    assert peak < 110 * sum(map(len, texts))

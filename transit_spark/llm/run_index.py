@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transit_spark.llm import common
-from transit_spark.llm.common import bucket_count, keyed, mix64, pack, text_bytes
+from transit_spark.llm.common import bucket_count, keyed, mix64, pack, release, text_bytes, trimmed
 from transit_spark.session import stage
 
 LENGTH = 100
@@ -91,44 +91,51 @@ class RunIndex:
         self.length = length
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
-        codes = np.zeros(int(sizes.sum()) + len(texts), np.int64)
+        codes = np.zeros(int(sizes.sum()) + len(texts), np.uint16)
         inside = np.ones(len(codes), bool)
         inside[self.starts + sizes] = False  # a 0 ends each text
-        codes[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        codes[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
+        del inside
         self.codes = codes
         n = len(codes)
 
-        def at(values: np.ndarray, reach: int) -> np.ndarray:
-            out = np.zeros(n, np.int64)
-            out[: n - reach] = values[reach:] if reach < n else 0
-            return out
-
-        def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def ranked(key: np.ndarray) -> np.ndarray:
             order = np.argsort(key, kind="stable")
             held = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]]) + 1
-            return order, rank
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]], dtype=np.int32) + 1
+            return rank
+
+        def joined(rank: np.ndarray, reach: int) -> np.ndarray:
+            key = rank.astype(np.int64)
+            key <<= 32
+            key[: max(0, n - reach)] |= rank[reach:]
+            return key
 
         key = np.zeros(n, np.int64)
         for k in range(7):
-            key = key << 9 | at(codes, k)
-        _, rank = ranked(key)
+            key <<= 9
+            key[: max(0, n - k)] |= codes[k:]
+        rank = ranked(key)
+        del key
         depth = 7
         while 2 * depth < length:
-            _, rank = ranked(rank << 32 | at(rank, depth))
+            rank = ranked(joined(rank, depth))
             depth *= 2
-        shorter = rank << 32 | at(rank, length - 1 - depth)
-        full = rank << 32 | at(rank, length - depth)
+        full = joined(rank, length - depth)
         order = np.argsort(full, kind="stable")
-        own, less = full[order], shorter[order]
+        own = full[order]
+        del full
         fresh = np.r_[True, own[1:] != own[:-1]]
+        del own
+        less = joined(rank, length - 1 - depth)[order]
         #: first rows of the classes that share ``length - 1`` bytes
         self.parents = np.flatnonzero(np.r_[True, less[1:] != less[:-1]])
+        del less, rank
         before = codes[order - 1]
         head = fresh | np.r_[True, before[1:] != before[:-1]]
         self.heads = np.flatnonzero(head)
-        self.letters = before[self.heads]
+        self.letters = before[self.heads].astype(np.int64)
         self.samples = np.stack([order[self.heads], order[np.r_[self.heads[1:], n] - 1]])  # run ends
         sizes_of_runs = np.diff(np.r_[self.heads, n])
         self.rows = n
@@ -169,11 +176,11 @@ class RunIndex:
                 low = self.parents[rank - 1]
                 high = np.where(rank < len(self.parents), self.parents[np.minimum(rank, len(self.parents) - 1)], self.rows)
             at = at - 1
-            letters = self.codes[at]
+            letters = self.codes[at].astype(np.int64)
             low, high = self.step(letters, low), self.step(letters, high)
             if k >= self.length - 1:
-                places.append(at)
-                firsts.append(self.samples[0][np.searchsorted(self.heads, low)])
+                places.append(at.astype(np.int32))
+                firsts.append(self.samples[0][np.searchsorted(self.heads, low)].astype(np.int32))
         return (np.concatenate(places), np.concatenate(firsts)) if places else (np.empty(0, np.int64),) * 2
 
 
@@ -225,7 +232,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     rows = keyed(docs, id_col, text_col)
     n_buckets = bucket_count(text_bytes(rows), BUCKET_BYTES, 64)
-    chunks = stage(rows.mapInArrow(_chunk, "chunk long, ids array<long>, lengths array<long>, data binary"))
+    chunks = stage(rows.mapInArrow(trimmed(_chunk), "chunk long, ids array<long>, lengths array<long>, data binary"))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +263,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         found = [k[p].tobytes() for k, p in zip(own, parts)]
         return pa.table({"chunk": table.column("chunk"), "keys": pa.array(found, pa.binary())})
 
-    sent = chunks.select("chunk", "lengths", "data").mapInArrow(send_anchors, "bucket int, chunk long, keys binary, twice binary")
+    sent = chunks.select("chunk", "lengths", "data").mapInArrow(trimmed(send_anchors), "bucket int, chunk long, keys binary, twice binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "chunk long, keys binary")
 
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,6 +290,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 out.append((int(bucket[own[0]]), chunk, meta.tobytes(), np.array([len(h) for h in known], np.int64).tobytes(), squeeze.compress(b"".join(known))))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         columns = list(zip(*out)) or [()] * 5
+        release()
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "meta", "lengths", "data"), columns, kinds)})
 
     segments = (
@@ -305,7 +313,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         hashes, which, orders, ties, owner, first, last = np.concatenate(metas, axis=1)
         chunk = np.concatenate(chunks_of)
         texts = list(distinct)
-        del distinct
+        distinct.clear()
         # the first of equal segments stands for them; all strings of the others start earlier there
         by = np.lexsort((first, owner, chunk, ties, orders))
         lead_of = np.full(len(texts), -1, np.int64)
@@ -329,6 +337,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             index = RunIndex([texts[w] for w in which[own]], length)
             place, earlier = index.earliest()
             place = place[earlier < place]
+            del earlier
             text = np.searchsorted(index.starts, place, side="right") - 1
             shift = place - index.starts[text]
             lead = own[text]
@@ -339,6 +348,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             cuts = np.flatnonzero(fresh)
             ends = np.r_[cuts[1:], len(lead)] - 1
             spans.append(np.stack([chunk[lead[cuts]], owner[lead[cuts]], start[cuts], start[ends] + length]) if len(cuts) else spans[0][:, :0])
+            del index, place, text, shift, start, lead
+        del texts
+        release()
         spans = np.concatenate(spans, axis=1)
         order = np.argsort(spans[0], kind="stable")
         spans = spans[:, order]
