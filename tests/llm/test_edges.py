@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import shingle_set
-from transit_spark.llm import common, language, lines, links, mixing, partenum, run_index
+from transit_spark.llm import common, language, lines, links, mixing, partenum, run_index, token_files
 from transit_spark.llm.common import fresh
+from transit_spark.llm.queries import vocabulary
 
 
 def pair_of_sets(rng, size, differ):
@@ -208,3 +209,25 @@ def test_an_index_takes_few_bytes_for_each_of_its_text():
     tracemalloc.stop()
     assert len(place) == 81 * len(texts) and (first <= place).all()
     assert peak < 110 * sum(map(len, texts))
+
+
+def test_every_word_is_looked_up_once():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.n += 1
+            return super().get(key, default)
+
+    encoder = token_files.WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = ["one two, three one two", "four five. one, été! two"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.cache = Counted()
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    Counted.n = 0
+    assert [x.tolist() for x in encoder.encode([*texts, "six one"])] == [*want, encoder.tokenizer.encode("six one", add_special_tokens=False).ids]
+    assert Counted.n == 12

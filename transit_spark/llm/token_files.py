@@ -174,17 +174,11 @@ class WordEncoder:
         split = [(d if b"<|" in d else d.lower()).split() for d in map(str.encode, texts)]
         if len(self.cache) > self.words:
             self.cache, self.old = {}, self.cache
-        get, joined, missing = self.cache.get, [], set()
-        for words in split:
-            try:
-                joined.append(b"".join(map(get, words)))
-            except TypeError:  # a word is not in the cache yet
-                joined.append(None)
-                missing.update(w for w in words if get(w) is None)
+        missing = set().union(*split).difference(self.cache)
         if missing:
             self._learn(missing)
-            joined = [b"".join(map(get, words)) if own is None else own for words, own in zip(split, joined)]
-        return [np.frombuffer(own, "<u4") for own in joined]
+        get = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
     def _apart(self, core: bytes) -> bool:
         """Whether the text ends in a letter also once it is normalised."""
@@ -195,16 +189,17 @@ class WordEncoder:
 
     def _learn(self, missing: set[bytes]) -> None:
         """Put these stretches into the cache; what no generation has is encoded, each part once."""
-        cache, old, parts, new = self.cache, self.old, {}, set()
+        cache, old, parts, new, tail_bytes = self.cache, self.old, {}, set(), self.TAIL
         for w in missing:
             known = old.get(w)
             if known is not None:
                 cache[w] = known
                 continue
-            core = w.rstrip(self.TAIL)
-            if core and len(core) < len(w) and self._apart(core):
-                parts[w] = (core, w[len(core) :])
-                for p in parts[w]:
+            core = w.rstrip(tail_bytes)
+            n = len(core)
+            if 0 < n < len(w) and (97 <= core[-1] <= 122 or self._apart(core)):
+                parts[w] = n
+                for p in (core, w[n:]):
                     if p not in cache:
                         if p in old:
                             cache[p] = old[p]
@@ -216,9 +211,10 @@ class WordEncoder:
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            cache[w] = cache[core] + cache[tail]
+                ids = e.ids
+                cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, n in parts.items():
+            cache[w] = cache[w[:n]] + cache[w[n:]]
 
 
 def write_token_files(
