@@ -231,3 +231,11 @@ def test_every_word_is_looked_up_once():
     Counted.n = 0
     assert [x.tolist() for x in encoder.encode([*texts, "six one"])] == [*want, encoder.tokenizer.encode("six one", add_special_tokens=False).ids]
     assert Counted.n == 12
+
+
+def test_empty_cells_are_filled_from_a_table_made_once():
+    lines._turns.cache_clear()
+    own = ["ab", "a line of some words", "x" * 40, "é" * 9]
+    alone = np.concatenate([lines.band_keys([line]) for line in own])
+    assert (lines.band_keys(own) == alone).all()
+    assert lines._turns.cache_info().misses == 1

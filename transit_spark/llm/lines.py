@@ -7,7 +7,8 @@ components, and of each component the first line in the corpus stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,20 @@ _BASE = 0x9E3779B97F4A7C15
 
 def line_nodes(text: str | None) -> list[tuple[int, str]]:
     """(number, line) of the lines that have a word."""
-    return [(k, line) for k, line in enumerate((text or "").split("\n")) if line.strip(" \t\x0b\x0c\r")]
+    # most lines begin with a word, which a look at the first character shows
+    return [(k, line) for k, line in enumerate((text or "").split("\n")) if line and (line[0] > " " or line.strip(" \t\x0b\x0c\r"))]
 
 
-def node(line: str) -> int:
-    """A signed 64-bit hash of the line, by which equal lines are one."""
+@functools.cache
+def _digest() -> Callable[[bytes], int]:
     import xxhash
 
-    value = xxhash.xxh3_64_intdigest(line.encode())
+    return xxhash.xxh3_64_intdigest
+
+
+def node(line: str) -> int:
+    """A signed 64-bit hash of the line, by which equal lines are one."""
+    value = _digest()(line.encode())
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -57,6 +64,13 @@ def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+@functools.cache
+def _turns(width: int) -> np.ndarray:
+    """The cells from which each empty cell takes its value, attempt by attempt."""
+    attempts = np.arange(1, 400, dtype=np.uint64)[:, None]
+    return (mix64(np.arange(width, dtype=np.uint64) * np.uint64(1 << 20) + attempts) % np.uint64(width)).astype(np.int64)
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of all bands, one row per line."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -66,31 +80,30 @@ def band_keys(lines: list[str]) -> np.ndarray:
         rolled, reach = points + np.uint64(1), 1
         while reach < SHINGLE:  # doubles the reach: SHINGLE is a power of two
             power = np.uint64(pow(_BASE, reach, 1 << 64))
-            shifted = np.zeros_like(rolled)
-            shifted[: len(rolled) - reach] = rolled[reach:]
-            rolled = rolled * power + shifted
+            behind = rolled[reach:].copy()
+            rolled *= power
+            rolled[: len(behind)] += behind
             reach *= 2
     counts = np.maximum(1, lengths - SHINGLE + 1)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
-    values = mix64(rolled[at])
+    before = np.cumsum(counts) - counts
+    values = mix64(rolled[np.arange(counts.sum()) + np.repeat(begin - before, counts)])
     for k in np.flatnonzero(lengths < SHINGLE):  # what stands behind a short line is no part of it
-        values[np.searchsorted(owner, k)] = np.uint64(node(lines[k]) & 0xFFFFFFFFFFFFFFFF)
+        values[before[k]] = np.uint64(node(lines[k]) & 0xFFFFFFFFFFFFFFFF)
     width = ROWS * BANDS
-    cell = ((values >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
+    cell = ((values >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).view(np.int64)
+    cell += np.repeat(np.arange(len(lines)) * width, counts)
     none = np.uint64(1 << 32)
     least = np.full(len(lines) * width, none, np.uint64)
-    np.minimum.at(least, owner * width + cell, values & np.uint64(0xFFFFFFFF))
+    np.minimum.at(least, cell, values & np.uint64(0xFFFFFFFF))
     least = least.reshape(-1, width)
     # an empty cell takes the value of a cell chosen by a fixed sequence of its own
     full = least != none
     out = least.copy()
     rows, cells = np.nonzero(~full)
-    for attempt in range(1, 400):
+    for turns in _turns(width):
         if not len(rows):
             break
-        turns = mix64(np.arange(width, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(width)
-        source = turns.astype(np.int64)[cells]
+        source = turns[cells]
         good = full[rows, source]
         out[rows[good], cells[good]] = least[rows[good], source[good]]
         rows, cells = rows[~good], cells[~good]
