@@ -180,7 +180,7 @@ def test_frequent_shingles_do_not_pair_all_their_documents():
     for k in range(64):
         own = keys >> np.uint64(58) == k
         for batch in links.split_groups(low[own], owner[own].astype(np.int64), weights[own]):
-            for kind, a, b, n, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, a, b, _, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == "pair":
                     listed.add((a, b))
                     found[a, b] = found.get((a, b), 0) + n

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transit_spark.llm.common import SMALL_PIECE_BYTES, bucket_count, fresh, keyed, mix64, pack, pieces, text_bytes, tidy
-from transit_spark.llm.links import GROUPS, linked_components, split_groups
+from transit_spark.llm.links import COUNTED, linked_components, split_groups
 from transit_spark.session import stage
 
 SHINGLE = 8
@@ -135,7 +135,7 @@ def distinct_lines(texts: list[str | None]) -> dict[int, str]:
 
 
 def candidate_groups(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows of ``GROUPS`` for lines that share a band; equal lines of a piece travel once."""
+    """Rows of ``COUNTED`` for lines that share a band; equal lines of a piece travel once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, n_bytes=2 * SMALL_PIECE_BYTES):
@@ -155,11 +155,11 @@ def candidate_groups(rows: DataFrame, n_buckets: int) -> DataFrame:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
         nodes = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         found = list(split_groups(keys, nodes))
-        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "members": pa.binary()}
+        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "members": pa.binary(), "n": pa.int64()}
         return pa.Table.from_batches(found) if found else pa.table({k: pa.array([], t) for k, t in empty.items()})
 
     packed = rows.select("text").mapInArrow(sign, "bucket int, keys binary, ids binary")
-    return stage(packed.groupBy("bucket").applyInArrow(group, GROUPS))
+    return stage(packed.groupBy("bucket").applyInArrow(group, COUNTED))
 
 
 def lines_of(rows: DataFrame, wanted: DataFrame, n_buckets: int) -> DataFrame:

@@ -32,12 +32,13 @@ NODE_ELEMENTS = 64
 TASK_ELEMENTS = 1 << 20
 COLUMNS = 4096
 
-#: Pairs and large groups, and ``n``, the weights of the keys that give them, summed.
-GROUPS = "kind string, a long, b long, n long, members binary"
+GROUPS = "kind string, a long, b long, members binary"
+#: With ``n``, the weights of the keys that give a pair or group, summed.
+COUNTED = f"{GROUPS}, n long"
 
 
 def split_groups(keys: np.ndarray, nodes: np.ndarray, weights: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Groups of equal keys as rows of ``GROUPS``: distinct pairs (``pair``, a < b) and large groups (``group``).
+    """Groups of equal keys as rows of ``COUNTED``: distinct pairs (``pair``, a < b) and large groups (``group``).
 
     Equal groups, which near copies make by the hundred, are given once. ``weights`` are those of the keys, 1 each by default.
     """
@@ -71,13 +72,13 @@ def split_groups(keys: np.ndarray, nodes: np.ndarray, weights: np.ndarray | None
 
 def _rows(kind: str, a, b, n, members) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(members or [None] * len(a), pa.binary())],
-        ["kind", "a", "b", "n", "members"],
+        [pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(members or [None] * len(a), pa.binary()), pa.array(n, pa.int64())],
+        ["kind", "a", "b", "members", "n"],
     )
 
 
 def sharing(groups: DataFrame, least: int) -> DataFrame:
-    """The rows of ``GROUPS`` without the pairs whose weights, summed over all buckets, are below ``least``; large groups stay."""
+    """The rows of ``COUNTED`` without the pairs whose weights, summed over all buckets, are below ``least``; large groups stay."""
     pairs = groups.where("kind = 'pair'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return stage(pairs.withColumn("members", F.lit(None).cast("binary")).unionByName(groups.where("kind = 'group'")))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transit_spark.llm.common import bucket_count, kept, keyed, mix64, pack, pieces, text_bytes, tidy, trimmed
-from transit_spark.llm.links import GROUPS, linked_components, members, sharing, split_groups
+from transit_spark.llm.links import COUNTED, linked_components, members, sharing, split_groups
 from transit_spark.session import stage
 
 BUCKET_BYTES = 4 << 20
@@ -155,7 +155,7 @@ def _enumerated(elements, owner, n_sets, parts, differ, joint, seed):
 
 
 def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Rows of ``GROUPS`` for documents that share a signature; ids that are NULL are left out."""
+    """Rows of ``COUNTED`` for documents that share a signature; ids that are NULL are left out."""
     n_buckets = bucket_count(text_bytes(docs), BUCKET_BYTES, 64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +192,13 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         nodes = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         if table.column("bucket")[0].as_py() < 0:
             kinds = pa.array(["size"] * len(keys), pa.string())
-            return pa.table({"kind": kinds, "a": pa.array(nodes), "b": pa.array(keys.astype(np.int64)), "n": pa.nulls(len(keys), pa.int64()), "members": pa.nulls(len(keys), pa.binary())})
+            return pa.table({"kind": kinds, "a": pa.array(nodes), "b": pa.array(keys.astype(np.int64)), "members": pa.nulls(len(keys), pa.binary()), "n": pa.nulls(len(keys), pa.int64())})
         rows = list(split_groups(keys, nodes, np.where(keys & 1, SHARED, 1)))
-        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "members": pa.binary()}
+        empty = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "members": pa.binary(), "n": pa.int64()}
         return pa.Table.from_batches(rows) if rows else pa.table({k: pa.array([], t) for k, t in empty.items()})
 
     packed = docs.mapInArrow(trimmed(sign), "bucket int, keys binary, ids binary")
-    return stage(packed.groupBy("bucket").applyInArrow(group, GROUPS))
+    return stage(packed.groupBy("bucket").applyInArrow(group, COUNTED))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
