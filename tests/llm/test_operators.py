@@ -314,6 +314,57 @@ def test_tiles_find_the_links_across_labels(spark, monkeypatch):
     assert links._links_across(rows.where("false"), sets_of, 80).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_groups_hold_every_linked_pair(spark, monkeypatch, percent):
+    monkeypatch.setattr(links, "BUCKET_BYTES", 1 << 10)
+    monkeypatch.setattr(links, "TASK_ELEMENTS", 100)
+    rng = np.random.default_rng(percent)
+    rows = []
+    for family in range(6):  # sets of one family differ by up to a fifth, some in size alone; sets 0 and 1 come twice
+        base = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 90)))
+        for k in range(25):
+            cut = int(rng.integers(0, len(base) // 5 + 1))
+            more = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, len(base) // 8 + 1)))
+            rows.append((family * 25 + k, sorted({int(x) for x in np.r_[base[cut:], more]})))
+    rows += [rows[0], (rows[1][0], rows[30][1]), (500, [])]
+    sets = spark.createDataFrame(rows, "node long, elements array<long>").repartition(3)
+    together: dict[int, set] = {}
+    for key, node in links._rare_groups(sets, percent).collect():
+        together.setdefault(key, set()).add(node)
+    met = {(a, b) for group in together.values() for a in group for b in group}
+    want = {(a, b) for a, x in rows for b, y in rows if a != b and x and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+    assert len(want) > 100 and want <= met
+    assert links._rare_groups(sets.where("false"), percent).count() == 0
+
+
+def test_near_copies_that_are_not_linked_leave_few_groups(spark, monkeypatch):
+    """120 sets that share 130 elements and 10 signatures, but no two XX."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(-(1 << 62), 1 << 62, 130)
+    sets = {n: {int(x) for x in np.r_[base, rng.integers(-(1 << 62), 1 << 62, 17)]} for n in range(120)}
+    for n in (50, 90):
+        sets[n + 1] = {*list(sets[n])[2:], n}
+    owners = np.concatenate([np.r_[k, np.flatnonzero(rng.random(120) < 0.9)] for k in range(10)])
+    keys = np.cumsum(np.r_[0, np.diff(owners) < 0]).astype(np.uint32)
+    rows = [r for b in links.split_groups(keys, owners.astype(np.int64)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    held = spark.createDataFrame([(n, list(x)) for n, x in sets.items()], "node long, elements array<long>")
+    compared, across = [], links._links_across
+
+    def counted(rows, *more):
+        compared.append(rows.select("node").distinct().count())
+        return across(rows, *more)
+
+    def verify(pairs):
+        x, y = (held.select(F.col("node").alias(n), F.col("elements").alias(e)) for n, e in (("a", "x"), ("b", "y")))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(x, "a").join(y, "b").where(100 * both >= 85 * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    monkeypatch.setattr(links, "_links_across", counted)
+    found = links.linked_components(spark.createDataFrame(rows, links.COUNTED), verify, lambda nodes: held.join(nodes, "node"), 85)
+    assert sorted(map(tuple, found.collect())) == [(51, 50), (91, 90)]
+    assert compared == [4]
+
+
 def test_shingles_of_two_lines_packed():
     rng = np.random.default_rng(5)
     kinds = ["abc é", "abc ☃日本", "".join(chr(0x4E00 + k) for k in range(600)), "ab\U0001f600\ud83d"[:3]]

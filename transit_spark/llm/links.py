@@ -4,8 +4,11 @@ Groups say which records may be linked. Small groups give all their pairs. A lar
 its smallest record; once those links are verified and joined to components, a pair inside one component cannot
 change the result any more, and only pairs across components are still verified. No group is cut short.
 
-Groups overlap: near copies share many signatures, so the same pair lies in many groups. What is left after the rounds
-is therefore not joined member by member. Nodes go into blocks of a bounded size, by the largest group near them, and
+Groups overlap: near copies share many signatures, so the same pair lies in many groups, and most of its members are not
+linked. Members of groups that a star leaves apart are therefore grouped anew, by the rarest elements of their sets, of
+which linked ones share one: ``_rare_groups``. A few of those are left where signatures gave hundreds.
+
+What is left after the rounds is not joined member by member either. Nodes go into blocks of a bounded size, by the largest group near them, and
 two blocks that share a group meet once, as one tile. A task compares the sets of a tile and gives the links alone.
 """
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.common import components, tidy
+from transit_spark.llm.common import bucket_count, components, mix64, pack, tidy
 from transit_spark.session import stage
 
 #: Groups up to this size give all their pairs at once; larger ones go by star, then across components.
@@ -31,6 +34,8 @@ NODE_ELEMENTS = 64
 #: Elements that one task of tiles is sent at a time, about, and columns of the matrices it multiplies.
 TASK_ELEMENTS = 1 << 20
 COLUMNS = 4096
+#: Elements, with the set and size that travel with each, come in buckets of about so many bytes.
+BUCKET_BYTES, ELEMENT_BYTES = 4 << 20, 20
 
 GROUPS = "kind string, a long, b long, members binary"
 #: With ``n``, the weights of the keys that give a pair or group, summed.
@@ -96,6 +101,106 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), group)), pa.array(nodes)], ["key", "node"])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the smallest member of each group with every member, itself included; once in a batch."""
+    for batch in batches:
+        groups = [np.frombuffer(data, np.int64) for data in batch.column("members").to_pylist()]
+        if groups:
+            first = np.repeat([g[0] for g in groups], [len(g) for g in groups])
+            found = np.unique(np.stack([first, np.concatenate(groups)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _still_apart(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """The members (node) of large groups with several components, by the stars of groups with the same smallest member."""
+    stars = groups.where("kind = 'group'").select("members").mapInArrow(_stars, "a long, b long").distinct()
+    marked = stage(_labelled(_labelled(stars, known, "a", "ca"), known, "b", "cb"))
+    several = marked.where("ca <> cb").select("a").distinct()
+    return marked.join(several, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+
+
+def _bucket(values: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix64(values.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _joined(table: pa.Table, **kinds: type) -> list[np.ndarray]:
+    """The packed columns of a bucket, each as one array."""
+    return [np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()]
+
+
+def _packed(bucket: np.ndarray, n_buckets: int, **columns: np.ndarray) -> pa.Table:
+    rows = list(pack(bucket, n_buckets, *columns.values()))
+    out = {"bucket": pa.array([r[0] for r in rows], pa.int32())}
+    return pa.table(out | {name: pa.array([r[k] for r in rows], pa.binary()) for k, name in enumerate(columns, 1)})
+
+
+def _prefix(elements: np.ndarray, owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements among the rarest of their set, and whether the set may meet a larger one by them.
+
+    With elements in one order for all sets, the first one that two linked sets share lies so far ahead in both that
+    all they must share can follow: ``percent`` of the larger set, and 2 * percent / (100 + percent) of the smaller.
+    Elements that no other set has come first and are not listed: they are what is missing to the size.
+    """
+    order = np.lexsort((elements, counts, owners))
+    begin = np.flatnonzero(np.r_[True, owners[order][1:] != owners[order][:-1]][: len(order)])
+    listed = np.diff(np.r_[begin, len(order)])
+    size = sizes[order].astype(np.int64)
+    place = np.arange(len(order)) + np.repeat(sizes[order][begin].astype(np.int64) - listed - begin, listed)
+    kept = place <= size + -percent * size // 100
+    smaller = place <= size + -2 * percent * size // (100 + percent)
+    return order[kept], smaller[kept]
+
+
+def _rare_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node): groups of nodes whose sets share one of their rarest elements; all linked nodes share such a group.
+
+    ``sets`` has node and elements. How many sets have an element is counted by element, which sets have it among their
+    rarest is settled by set, and both travel packed. No list of the elements of all sets is made anywhere.
+    """
+    named = sets.withColumn("owner", F.xxhash64("node", "elements"))  # several rows may be one node
+    total = sets.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
+    n_buckets = bucket_count(total * ELEMENT_BYTES, BUCKET_BYTES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, owners = batch.column("elements"), batch.column("owner").to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            part = (np.cumsum(sizes) - sizes) // TASK_ELEMENTS
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+                flat, n = lists.slice(a, b - a).flatten().to_numpy(), sizes[a:b]
+                columns = {"elements": flat, "owners": np.repeat(owners[a:b], n), "sizes": np.repeat(n, n).astype(np.int32)}
+                yield from _packed(_bucket(flat, n_buckets), n_buckets, **columns).to_batches()
+
+    def count(table: pa.Table) -> pa.Table:
+        elements, owners, sizes = _joined(table, elements=np.int64, owners=np.int64, sizes=np.int32)
+        order = np.lexsort((owners, elements))
+        e, o = elements[order], owners[order]
+        order = order[np.r_[True, (e[1:] != e[:-1]) | (o[1:] != o[:-1])][: len(e)]]  # a repeated row counts once
+        _, at, counts = np.unique(elements[order], return_inverse=True, return_counts=True)
+        counts = counts[at].astype(np.int32)
+        own, counts = order[counts > 1], counts[counts > 1]
+        columns = {"elements": elements[own], "owners": owners[own], "sizes": sizes[own], "counts": counts}
+        return _packed(_bucket(owners[own], n_buckets), n_buckets, **columns)
+
+    def choose(table: pa.Table) -> pa.Table:
+        elements, owners, sizes, counts = _joined(table, elements=np.int64, owners=np.int64, sizes=np.int32, counts=np.int32)
+        own, smaller = _prefix(elements, owners, sizes, counts, percent)
+        return _packed(_bucket(elements[own], n_buckets), n_buckets, elements=elements[own], owners=owners[own], smaller=smaller)
+
+    def meet(table: pa.Table) -> pa.Table:
+        elements, owners, smaller = _joined(table, elements=np.int64, owners=np.int64, smaller=np.bool_)
+        _, at, counts = np.unique(elements, return_inverse=True, return_counts=True)
+        own = (counts > 1)[at] & (np.bincount(at, smaller, len(counts)) > 0)[at]
+        return pa.table({"key": pa.array(elements[own]), "owner": pa.array(owners[own])})
+
+    sent = named.select("owner", "elements").mapInArrow(deal, "bucket int, elements binary, owners binary, sizes binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, elements binary, owners binary, sizes binary, counts binary")
+    chosen = counted.groupBy("bucket").applyInArrow(choose, "bucket int, elements binary, owners binary, smaller binary")
+    found = chosen.groupBy("bucket").applyInArrow(meet, "key long, owner long")
+    return found.join(named.select("owner", "node").distinct(), "owner").select("key", "node").distinct()
+
+
 def _common(elements: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of one side with all of the other."""
     out = np.zeros((len(elements), len(others)), np.float32)
@@ -200,17 +305,18 @@ def linked_components(
     ``sets_of`` gives a row (node, elements) of distinct 64-bit elements for each of the nodes it is given, those alone
     that are still compared at the end; two are linked when 100 * common >= ``percent`` * union.
 
-    First each node is verified against its smallest partner. Then, round by round, nodes that are still apart from
-    others of their groups are verified against one of those, the hub of the round. Groups of near copies grow
+    First each node is verified against its smallest partner. Members of large groups that are still apart are grouped
+    anew, by rare elements. Then, round by round, nodes that are still apart from others of their groups are verified
+    against one of those, the hub of the round. Groups of near copies grow
     together so with one test per node and round. When few pairs across components are left, or after ``ROUNDS``
     rounds, all that are left are compared, so no link is lost.
     """
     pairs = stage(groups.where("kind = 'pair'").select("a", "b").distinct())
-    large = groups.where("kind = 'group'").select(F.xxhash64("members").alias("key"), "members").dropDuplicates(["members"])
-    rows = stage(large.mapInArrow(_unpack, "key long, node long"))
     n_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
     tested = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     known = components(verify(tested))
+    sets = stage(sets_of(_still_apart(groups, known)).select("node", "elements"))
+    rows = stage(_rare_groups(sets, percent))
     turn = 0
     while True:
         tidy(groups)
@@ -233,7 +339,7 @@ def linked_components(
         known = _grown(known, verify(now))
     # groups with several components: the members that differ in theirs, tile by tile
     tidy(groups)
-    across = _links_across(rows.select("key", "node", "c", "n"), sets_of, percent)
+    across = _links_across(rows.select("key", "node", "c", "n"), lambda nodes: sets.join(nodes, "node", "left_semi"), percent)
     return _grown(known, verify(pairs).unionByName(across))
 
 
