@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.catalog.registry import Registry
 from transit_spark.llm import language, lines, mixing, partenum, piece_table
-from transit_spark.llm.common import documents, fresh, ship_code
+from transit_spark.llm.common import documents, fresh, ship_code, tidy
 from transit_spark.llm.queries import vocabulary
 from transit_spark.session import checkpoint_root
 
@@ -71,10 +71,14 @@ ORACLE_SQL = None
 
 @REGISTRY.query("pipeline", oracle=ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what each returns is written to the shared folder and read again."""
+    """All stages over the documents of a folder; what each returns is written to the shared folder and read again.
+
+    Shuffle files of a stage go before the next one begins to write its own.
+    """
     docs = documents(spark, sf_dir)
     folder = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        tidy(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

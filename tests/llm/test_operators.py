@@ -338,7 +338,7 @@ def test_rare_groups_hold_every_linked_pair(spark, monkeypatch, percent):
 
 
 def test_near_copies_that_are_not_linked_leave_few_groups(spark, monkeypatch):
-    """120 sets that share 130 elements and 10 signatures, but no two XX."""
+    """120 sets share 130 elements and 10 signatures, but only planted pairs are linked: no others are compared in the end."""
     rng = np.random.default_rng(11)
     base = rng.integers(-(1 << 62), 1 << 62, 130)
     sets = {n: {int(x) for x in np.r_[base, rng.integers(-(1 << 62), 1 << 62, 17)]} for n in range(120)}

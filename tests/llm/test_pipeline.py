@@ -91,3 +91,20 @@ def test_whole_pipeline_and_an_empty_table(spark, rows, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect())) and whole.count() > 20
     table(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_shuffle_files_of_a_stage_go_before_the_next(spark, rows, tmp_path, monkeypatch):
+    steps = []
+
+    def step(name):
+        def change(spark, docs, sf_dir):
+            steps.append(name)
+            return docs.repartition(2)
+
+        return name, change
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [step("a"), step("b"), step("c")])
+    monkeypatch.setattr(corpus_pipeline, "tidy", lambda df: steps.append("tidy"), raising=False)
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
+    assert steps == ["a", "tidy", "b", "tidy", "c"]
