@@ -326,7 +326,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sets_of(nodes: DataFrame) -> DataFrame:
         return texts.join(nodes, "node", "left_semi").mapInArrow(to_sets, "node long, elements array<long>")
 
-    found = linked_components(groups, verify, sets_of, round(100 * SIMILARITY))
+    found = linked_components(groups, verify, sets_of, round(100 * SIMILARITY), by_rarity=False)
 
     places = line_places(rows, found, n_buckets)
     own = places.where("c is not null")

@@ -5,8 +5,9 @@ its smallest record; once those links are verified and joined to components, a p
 change the result any more, and only pairs across components are still verified. No group is cut short.
 
 Groups overlap: near copies share many signatures, so the same pair lies in many groups, and most of its members are not
-linked. Members of groups that a star leaves apart are therefore grouped anew, by the rarest elements of their sets, of
-which linked ones share one: ``_rare_groups``. A few of those are left where signatures gave hundreds.
+linked. Members of groups that a star leaves apart can therefore be grouped anew, by the rarest elements of their sets, of
+which linked ones share one: ``_rare_groups``. A few of those are left where signatures gave hundreds; where records
+have few keys anyway, as lines have, their groups are the fewer ones.
 
 What is left after the rounds is not joined member by member either. Nodes go into blocks of a bounded size, by the largest group near them, and
 two blocks that share a group meet once, as one tile. A task compares the sets of a tile and gives the links alone.
@@ -298,15 +299,19 @@ def _links_across(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pe
 
 
 def linked_components(
-    groups: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int
+    groups: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    by_rarity: bool = True,
 ) -> DataFrame:
     """(node, component) from rows of ``GROUPS``; ``verify`` keeps the pairs (a, b) that are linked.
 
     ``sets_of`` gives a row (node, elements) of distinct 64-bit elements for each of the nodes it is given, those alone
     that are still compared at the end; two are linked when 100 * common >= ``percent`` * union.
 
-    First each node is verified against its smallest partner. Members of large groups that are still apart are grouped
-    anew, by rare elements. Then, round by round, nodes that are still apart from others of their groups are verified
+    First each node is verified against its smallest partner. With ``by_rarity``, members of large groups that are still
+    apart are grouped anew, by rare elements: for records with very many keys. Then, round by round, nodes that are still apart from others of their groups are verified
     against one of those, the hub of the round. Groups of near copies grow
     together so with one test per node and round. When few pairs across components are left, or after ``ROUNDS``
     rounds, all that are left are compared, so no link is lost.
@@ -315,8 +320,13 @@ def linked_components(
     n_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
     tested = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     known = components(verify(tested))
-    sets = stage(sets_of(_still_apart(groups, known)).select("node", "elements"))
-    rows = stage(_rare_groups(sets, percent))
+    if by_rarity:
+        sets = stage(sets_of(_still_apart(groups, known)).select("node", "elements"))
+        rows = stage(_rare_groups(sets, percent))
+        sets_of = lambda nodes: sets.join(nodes, "node", "left_semi")
+    else:
+        large = groups.where("kind = 'group'").select(F.xxhash64("members").alias("key"), "members").dropDuplicates(["members"])
+        rows = stage(large.mapInArrow(_unpack, "key long, node long"))
     turn = 0
     while True:
         tidy(groups)
@@ -339,7 +349,7 @@ def linked_components(
         known = _grown(known, verify(now))
     # groups with several components: the members that differ in theirs, tile by tile
     tidy(groups)
-    across = _links_across(rows.select("key", "node", "c", "n"), lambda nodes: sets.join(nodes, "node", "left_semi"), percent)
+    across = _links_across(rows.select("key", "node", "c", "n"), sets_of, percent)
     return _grown(known, verify(pairs).unionByName(across))
 
 
