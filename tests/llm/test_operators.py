@@ -45,6 +45,68 @@ def test_long_texts_are_cut_into_units_without_loss(monkeypatch):
     assert sorted(s for a, b in zip(first, last) for s in range(a, b + 1)) == list(range(len(text) - 99))
 
 
+def _parts(texts, length):
+    """What may be shared of every distinct segment whose anchor has others: (segment, begin, end)."""
+    owner, first, last, hashes = run_index.all_stretches(texts, length)
+    of_anchor = {}
+    for o, f, e, h in zip(owner.tolist(), first.tolist(), last.tolist(), hashes.tolist()):
+        of_anchor.setdefault(h, {})[texts[o][f : e + length]] = None
+    groups = [(h, list(held)) for h, held in of_anchor.items() if len(held) > 1]
+    places = run_index.anchor_places([held[0] for _, held in groups], np.array([h for h, _ in groups], np.uint64), length)
+    assert all(p >= 0 for p in places)
+    return [(t, *part) for (_, held), p in zip(groups, places) for t, part in zip(held, run_index.shared_parts(held, p, length))]
+
+
+def test_a_line_in_many_contexts_needs_no_index():
+    """The line is shorter than a string, so its 2,000 segments have one anchor and nothing else in common."""
+    rng = np.random.default_rng(4)
+    line = bytes(rng.integers(97, 123, 70, np.uint8))
+    texts = [bytes(rng.integers(97, 123, 60, np.uint8)) + line + bytes(rng.integers(97, 123, 60, np.uint8)) for _ in range(2000)]
+    parts = _parts(texts, 100)
+    assert len(parts) >= 2000 and all(part[1:] == (0, 0) for part in parts)
+    texts.append(texts[7][:40] + b"#" + texts[7][41:])  # its last 149 bytes have been met
+    left = [(t, a, b) for t, a, b in _parts(texts, 100) if b]
+    assert 2 <= len(left) <= 8
+
+
+@pytest.mark.parametrize("unit", [1 << 20, 70])
+@pytest.mark.parametrize("length", [33, 60, 100])
+def test_what_segments_share_stays_in_their_parts(monkeypatch, length, unit):
+    monkeypatch.setattr(run_index, "UNIT_BYTES", unit)
+    monkeypatch.setattr(run_index, "PLACES", 5)
+    rng = np.random.default_rng(length)
+    words = [bytes(rng.integers(97, 100, rng.integers(2, 30), np.uint8)) for _ in range(12)] + [b"ab" * 60, b"a" * 150]
+    texts = [b"".join(words[k] for k in rng.integers(0, len(words), rng.integers(1, 25))) for _ in range(60)]
+    parts = _parts(texts, length)
+    holders = {}
+    for k, (text, _, _) in enumerate(parts):
+        for at in range(len(text) - length + 1):
+            holders.setdefault(text[at : at + length], {}).setdefault(k, at)
+    shared = [(k, at) for held in holders.values() if len(held) > 1 for k, at in held.items()]
+    assert shared and all(parts[k][1] <= at and at + length <= parts[k][2] for k, at in shared)
+    assert sum(b - a for _, a, b in parts) < sum(len(t) for t, _, _ in parts)
+
+
+def test_buckets_are_even():
+    """Anchors are the least of 81 hashes; dealt by these as they are, the first of 64 buckets had seven tenths of them."""
+    text = bytes(np.random.default_rng(2).integers(0, 256, 400_000).astype(np.uint8))
+    hashes = run_index.all_stretches([text])[3]
+    sizes = np.bincount(run_index.buckets(hashes, 64), minlength=64)
+    assert len(sizes) == 64 and sizes.max() < 1.5 * sizes.mean()
+
+
+def test_chunks_of_large_inputs_are_large(spark):
+    """Every chunk sends a row to every bucket, so an input twice as large must not have twice as many chunks of one size."""
+    rows = spark.range(40, numPartitions=1).selectExpr("id as doc_id", "repeat('x', 100000) as text")
+
+    def chunks(n_bytes):
+        kind = "chunk long, ids array<long>, lengths array<long>, data binary"
+        return [len(r.ids) for r in rows.mapInArrow(lambda b: run_index._chunk(b, n_bytes), kind).select("ids").collect()]
+
+    assert sum(chunks(1 << 20)) == sum(chunks(4 << 20)) == 40
+    assert len(chunks(1 << 20)) == 4 and len(chunks(4 << 20)) == 1
+
+
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
 def test_partenum_equals_brute_force(docs, nothing, n, percent):
     got = {r[0]: (r[1], r[2]) for r in partenum.near_duplicates(docs, n, percent).collect()}

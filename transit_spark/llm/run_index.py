@@ -2,10 +2,11 @@
 
 A string of ``LENGTH`` bytes is placed by its anchor, the 20-byte gram in it with the smallest hash: equal strings have
 equal anchors at equal places. The texts are cut into segments, the strings of one anchor each. Segments whose anchor
-occurs nowhere else are done; the others meet by anchor. There, equal segments fall together, and over the segments
-that differ a Burrows-Wheeler transform is built, kept as runs with the text positions at their ends. All segments are
-then streamed through it backwards: the matching statistics give, for each place, the range of suffixes that share the
-longest match, here bounded by ``LENGTH``, and the sample at the head of the range's first run is the earliest of them.
+occurs nowhere else are done; the others meet by anchor. There, equal segments fall together, and of those that differ
+only what may hold a string of another one is left (``shared_parts``). Over these parts a Burrows-Wheeler transform is
+built, kept as runs with the text positions at their ends. All parts are then streamed through it backwards: the
+matching statistics give, for each place, the range of suffixes that share the longest match, here bounded by
+``LENGTH``, and the sample at the head of the range's first run is the earliest of them.
 
 The transform sorts suffixes by their first ``LENGTH`` bytes and equal ones by position, and no run crosses two classes
 of such suffixes, so that first sample is exact and no other one has to be located.
@@ -29,10 +30,15 @@ from transit_spark.session import stage
 
 LENGTH = 100
 GRAM = 20
+#: Least and most bytes of text in a chunk; large inputs have large ones, as every chunk sends a row to every bucket.
 CHUNK_BYTES = 4 << 20
+MOST_CHUNK_BYTES = 16 << 20
+CHUNKS = 256
 UNIT_BYTES = 1 << 20
-BUCKET_BYTES = 1 << 20
-INDEX_BYTES = 1 << 19
+BUCKET_BYTES = 4 << 20
+INDEX_BYTES = 1 << 17
+#: Strings of one anchor are told apart by so many neighbouring places of the anchor in them.
+PLACES = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -84,6 +90,66 @@ def all_stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def buckets(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of each anchor. Anchors are the least hashes of many, so these are mixed again before they are dealt."""
+    return ((mix64(hashes) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def anchor_places(texts: list[bytes], hashes: np.ndarray, length: int = LENGTH) -> list[int]:
+    """Where the anchor of these hashes begins in each segment: in its last string, the leftmost gram of that hash."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    part = (np.cumsum(sizes) - sizes) // UNIT_BYTES
+    places = []
+    for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+        if not len(own):
+            continue
+        found = grams(np.frombuffer(b"".join([texts[k] for k in own.tolist()]), np.uint8))
+        starts = np.cumsum(sizes[own]) - sizes[own]
+        at = np.flatnonzero(found == np.repeat(hashes[own], sizes[own])[: len(found)])
+        text = np.searchsorted(starts, at, side="right") - 1
+        shift = at - starts[text]
+        inside = (shift >= sizes[own][text] - length) & (shift <= length - GRAM)
+        text, first = np.unique(text[inside], return_index=True)
+        own_places = np.full(len(own), -1, np.int64)
+        own_places[text] = shift[inside][first]
+        places += own_places.tolist()
+    return places
+
+
+def shared_parts(texts: list[bytes], place: int, length: int = LENGTH) -> list[tuple[int, int]]:
+    """(begin, end) of what each of one anchor's segments may share with another one; (0, 0) for nothing.
+
+    ``place`` is where the anchor begins in the first text. A string is known by how many bytes stand before its anchor.
+    All strings with ``PLACES`` neighbouring such numbers hold the same window around the anchor, so segments that share
+    one of them share the window. A segment whose windows are its own shares no string; what lies outside of the strings
+    of shared windows is left out. Nothing else is: equal strings of different segments stay in.
+    """
+    gram = texts[0][place : place + GRAM] if place >= 0 else b""
+    seen: dict[tuple[int, bytes], int] = {}
+    windows = []
+    for text in texts:
+        last = len(text) - length
+        at = text.find(gram, last) if gram else -1
+        if not 0 <= at <= length - GRAM:  # grams that differ have one hash: all of the segment stays
+            windows.append((-1, last, ()))
+            continue
+        own = [(k, text[at - k * PLACES : at - (k + 1) * PLACES + 1 + length]) for k in range((at - last) // PLACES, at // PLACES + 1)]
+        for w in own:
+            seen[w] = seen.get(w, 0) + 1
+        windows.append((at, last, own))
+    parts = []
+    for at, last, own in windows:
+        shared = [w[0] for w in own if seen[w] > 1]
+        if at < 0:
+            parts.append((0, last + length))
+        elif shared:
+            begin, end = max(0, at - (shared[-1] + 1) * PLACES + 1), min(last, at - shared[0] * PLACES)
+            parts.append((begin, end + length))
+        else:
+            parts.append((0, 0))
+    return parts
+
+
 class RunIndex:
     """Run-length transform of texts, and the earliest place of every string of ``length`` bytes in them."""
 
@@ -100,7 +166,7 @@ class RunIndex:
         n = len(codes)
 
         def ranked(key: np.ndarray) -> np.ndarray:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             held = key[order]
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]], dtype=np.int32) + 1
@@ -145,15 +211,14 @@ class RunIndex:
         counts = sizes_of_runs[by]
         self.run_sizes = counts
         self.run_before = np.cumsum(counts) - counts  # this is C[letter] + rank, as letters come in order
+        self.begins = np.r_[0, np.cumsum(np.bincount(before, minlength=257))]  # this is C[letter]
 
     def step(self, letters: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Row of the suffixes one letter longer: all smaller letters, and this letter before the row."""
         k = np.searchsorted(self.run_keys, letters << 40 | rows, side="left") - 1
         same = (k >= 0) & (self.run_keys[k] >> 40 == letters)
         inside = np.minimum(self.run_sizes[k], rows - (self.run_keys[k] & ((1 << 40) - 1)))
-        first = np.searchsorted(self.run_keys, letters << 40, side="left")
-        start = np.where(first < len(self.run_before), self.run_before[np.minimum(first, len(self.run_before) - 1)], self.rows)
-        return np.where(same, self.run_before[k] + inside, start)
+        return np.where(same, self.run_before[k] + inside, self.begins[letters])
 
     def earliest(self) -> tuple[np.ndarray, np.ndarray]:
         """(place, earliest place of the same ``length`` bytes) for every such string, texts streamed side by side.
@@ -184,17 +249,17 @@ class RunIndex:
         return (np.concatenate(places), np.concatenate(firsts)) if places else (np.empty(0, np.int64),) * 2
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in chunks: (chunk, ids, lengths, compressed bytes)."""
+def _chunk(batches: Iterator[pa.RecordBatch], n_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Texts in chunks of about so many bytes: (chunk, ids, lengths, compressed bytes)."""
     import zstandard
 
     squeeze, task, nth = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-    for batch in common.pieces(batches):
+    for batch in common.pieces(batches, n_bytes=max(n_bytes, common.PIECE_BYTES)):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         ids, cut, held = batch.column("doc_id").to_pylist(), 0, 0
         for k, text in enumerate(texts):
             held += len(text)
-            if held >= CHUNK_BYTES or k == len(texts) - 1:
+            if held >= n_bytes or k == len(texts) - 1:
                 own = texts[cut : k + 1]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -231,16 +296,17 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     Anchors reach their buckets once per chunk, and equal segments once per chunk, however often they occur.
     """
     rows = keyed(docs, id_col, text_col)
-    n_buckets = bucket_count(text_bytes(rows), BUCKET_BYTES, 64)
-    chunks = stage(rows.mapInArrow(trimmed(_chunk), "chunk long, ids array<long>, lengths array<long>, data binary"))
+    n_bytes = text_bytes(rows)
+    n_buckets = bucket_count(n_bytes, BUCKET_BYTES, 64)
+    chunk_bytes = min(max(CHUNK_BYTES, n_bytes // CHUNKS), MOST_CHUNK_BYTES)
+    chunks = stage(rows.mapInArrow(trimmed(lambda batches: _chunk(batches, chunk_bytes)), "chunk long, ids array<long>, lengths array<long>, data binary"))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "data"))):
                 hashes = all_stretches(_texts(lengths, data), length)[3]
                 keys, counts = np.unique(hashes, return_counts=True)
-                bucket = (keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-                packed = list(pack(bucket.astype(np.int64), n_buckets, keys, counts > 1))
+                packed = list(pack(buckets(keys, n_buckets), n_buckets, keys, counts > 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p[0] for p in packed], pa.int32()),
@@ -276,8 +342,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             owner, first, last, hashes = all_stretches(texts, length)
             use = np.isin(hashes, wanted)
             owner, first, last, hashes = owner[use], first[use], last[use], hashes[use]
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            ties = [int.from_bytes(hashlib.blake2b(t, digest_size=7).digest()) for t in texts]
+            bucket = buckets(hashes, n_buckets)
+            ties = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=7).digest()) for t in texts], np.int64)
             orders = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
@@ -286,7 +352,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 held = [texts[o][f : e + length] for o, f, e in zip(owner[own].tolist(), first[own].tolist(), last[own].tolist())]
                 known: dict[bytes, int] = {}
                 which = np.array([known.setdefault(h, len(known)) for h in held], np.int64)
-                meta = np.stack([hashes[own].view(np.int64), which, orders[owner[own]], np.array(ties, np.int64)[owner[own]], owner[own], first[own], last[own]])
+                meta = np.stack([hashes[own].view(np.int64), which, orders[owner[own]], ties[owner[own]], owner[own], first[own], last[own]])
                 out.append((int(bucket[own[0]]), chunk, meta.tobytes(), np.array([len(h) for h in known], np.int64).tobytes(), squeeze.compress(b"".join(known))))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         columns = list(zip(*out)) or [()] * 5
@@ -321,27 +387,35 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         lead_of[which[seen_at]] = seen_at
         copies = lead_of[which] != np.arange(len(which))
         spans = [np.stack([chunk[copies], owner[copies], first[copies], last[copies] + length])]
-        # anchors with segments that differ: stream them through an index of them all, in their order
+        # anchors with segments that differ: stream what they may share through an index of it all, in their order
         leads = by[~copies[by]]
         _, group, size = np.unique(hashes[leads], return_inverse=True, return_counts=True)
         leads = leads[size[group] > 1]
-        # one index holds whole anchors, as many as fit into ``INDEX_BYTES``
-        sizes = np.array([len(t) for t in texts], np.int64)
         anchor = np.unique(hashes[leads], return_inverse=True)[1]
-        of_anchor = np.bincount(anchor, sizes[which[leads]]).astype(np.int64)
+        order = np.argsort(anchor, kind="stable")
+        of_anchors = np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1) if len(order) else []
+        heads = leads[[own[0] for own in of_anchors]] if len(order) else leads
+        places = anchor_places([texts[w] for w in which[heads]], hashes[heads].view(np.uint64), length)
+        parts = np.zeros((len(leads), 2), np.int64)
+        for own, place in zip(of_anchors, places):
+            parts[own] = shared_parts([texts[w] for w in which[leads[own]].tolist()], place, length)
+        may = parts[:, 1] > 0
+        leads, anchor, parts = leads[may], anchor[may], parts[may]
+        # one index holds whole anchors, as many as fit into ``INDEX_BYTES``
+        of_anchor = np.bincount(anchor, parts[:, 1] - parts[:, 0]).astype(np.int64)
         batch = ((np.cumsum(of_anchor) - of_anchor) // INDEX_BYTES)[anchor]
         order = np.argsort(batch, kind="stable")
-        for own in np.split(leads[order], np.flatnonzero(np.diff(batch[order])) + 1):
+        for own in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1):
             if not len(own):
                 continue
-            index = RunIndex([texts[w] for w in which[own]], length)
+            index = RunIndex([texts[w][a:b] for w, (a, b) in zip(which[leads[own]].tolist(), parts[own].tolist())], length)
             place, earlier = index.earliest()
             place = place[earlier < place]
             del earlier
             text = np.searchsorted(index.starts, place, side="right") - 1
             shift = place - index.starts[text]
-            lead = own[text]
-            start = first[lead] + shift
+            lead = leads[own[text]]
+            start = first[lead] + parts[own[text], 0] + shift
             order = np.lexsort((start, lead))
             lead, start = lead[order], start[order]
             fresh = np.r_[True, (lead[1:] != lead[:-1]) | (start[1:] > start[:-1] + length)][: len(lead)]
