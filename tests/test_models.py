@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from transit_spark import schemas
+from transit_spark.catalog import learning_queries as lq
 from transit_spark.models import candidates as cand
 from transit_spark.models.delays import delay_training_set, evaluate_delay_model, fit_delay_model
 from transit_spark.models.features import (
@@ -138,6 +139,41 @@ def test_split_by_a_stored_bucket(silver):
         assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+class Reached(Exception):
+    pass
+
+
+@pytest.fixture(scope="module")
+def many_bookings(spark):
+    """7,000 bookings as the booking models read them."""
+    rows = spark.range(7000).selectExpr(
+        "cast(id as string) as PNR", "concat('F', id % 5) as FromStation", "concat('T', id % 3) as ToStation", "'SL' as Class",
+        "'X' as TrainType", "'GN' as Quota", "'WL' as BookingStatus", "'Adult' as PassengerType", "'Online' as BookingChannel",
+        "'None' as Concession", "cast(id % 90 as int) as Distance", "cast(id % 70 as int) as Fare", "1 as Passengers", "1 as IsWaitlisted",
+        "cast(id % 11 as int) as WaitlistRank", "0 as IsHoliday", "0 as HasConcession", "0 as IsConfirmed_AtBooking",
+        "cast(id % 2 as double) as label", "if(id % 2 = 1, 'Confirmed', 'Not Confirmed') as FinalStatus",
+    )
+    return stage(rows.withColumn(lq._BUCKET, hash_bucket("PNR")))
+
+
+@pytest.mark.parametrize("name", ["ml_best_candidate"])
+def test_booking_models_are_fitted_on_all_training_rows(spark, many_bookings, monkeypatch, name):
+    def fit(train, test, *_, **__):
+        raise Reached(sorted(r.PNR for r in train.select("PNR").collect()), test.count())
+
+    monkeypatch.setattr(lq, "booking_rows", lambda spark, sf_dir: many_bookings)
+    monkeypatch.setattr(lq.cand, "fit_candidates", fit)
+    monkeypatch.setattr(lq.cand, "fit_fare", fit)
+    with pytest.raises(Reached) as reached:
+        lq.REGISTRY.queries[name](spark, "no folder")
+    want = sorted(r.PNR for r in many_bookings.filter(F.col(lq._BUCKET) < 80).select("PNR").collect())
+    assert len(want) > lq.LABELLED_ROWS and reached.value.args == (want, 7000 - len(want))
+
+
+def test_few_fits_at_once_on_many_partitions(spark):
+    assert [cand._side_by_side(spark.range(100, numPartitions=n), 8) for n in (1, 2, 5, 8, 40)] == [8, 4, 2, 1, 1]
+
+
 def test_full_grids_have_the_stated_sizes():
     assert [len(c.grid) for c in cand.confirmation_candidates()] == [4, 4, 2]
     assert len(cand.fare_candidate().grid) == 8
