@@ -156,7 +156,7 @@ def many_bookings(spark):
     return stage(rows.withColumn(lq._BUCKET, hash_bucket("PNR")))
 
 
-@pytest.mark.parametrize("name", ["ml_best_candidate", "confirmation_scores", "ml_inference_results"])
+@pytest.mark.parametrize("name", ["ml_best_candidate", "confirmation_scores", "ml_inference_results", "ml_feature_importance"])
 def test_booking_models_are_fitted_on_all_training_rows(spark, many_bookings, monkeypatch, name):
     def fit(train, test, *_, **__):
         raise Reached(sorted(r.PNR for r in train.select("PNR").collect()), test.count())
